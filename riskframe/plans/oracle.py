@@ -63,8 +63,8 @@ ENTITIES = ["card1", "addr1", "P_emaildomain"]
 
 
 def velocity(entities: list[str], source: str, stats=("count", "sum", "mean_amt"), extra: str = "", within: str = "",
-             where: str = "", digits: int = 9) -> str:
-    """Plain sliding range frames."""
+             where: str = "") -> str:
+    """Plain sliding range frames. Sums of cents are rounded to cents, so means are equal without rounding."""
     cols, frames = [], []
     for e in entities:
         for label, width in WINDOWS.items():
@@ -78,7 +78,7 @@ def velocity(entities: list[str], source: str, stats=("count", "sum", "mean_amt"
             made = {
                 "count": count,
                 "sum": total,
-                "mean_amt": f"round(CASE WHEN {count} > 0 THEN {total} / {count} ELSE 0.0 END, {digits})",
+                "mean_amt": f"CASE WHEN {count} > 0 THEN {total} / {count} ELSE 0.0 END",
             }
             cols += [f"{made[s]} AS vel_{e}_{label}_{s}" for s in stats]
     return f"SELECT TransactionID, {extra}{', '.join(cols)} FROM {source} {where} WINDOW {', '.join(frames)}"
@@ -121,7 +121,7 @@ AMOUNT_FIT = "\n".join(
   coalesce(stddev_samp(TransactionAmt), 0) AS std_{e} FROM train WHERE {e} IS NOT NULL GROUP BY {e})"""
         for e in ENTITIES
     ]
-    + [", glob AS (SELECT avg(TransactionAmt) AS gm, stddev_samp(TransactionAmt) AS gs FROM train)"]
+    + [", overall AS (SELECT avg(TransactionAmt) AS gm, stddev_samp(TransactionAmt) AS gs FROM train)"]
 )
 
 ADDRESS_FIT = """, cnt1 AS (SELECT card1, addr1 AS v, count(*) AS n FROM train GROUP BY 1, 2),
@@ -151,7 +151,7 @@ def spike_columns(digits: int = 6) -> dict[str, str]:
     return out
 
 
-SPIKE_JOINS = " ".join(f"LEFT JOIN enc_{e} ON {e} = ek_{e}" for e in ENTITIES) + " CROSS JOIN glob"
+SPIKE_JOINS = " ".join(f"LEFT JOIN enc_{e} ON {e} = ek_{e}" for e in ENTITIES) + " CROSS JOIN overall"
 
 
 def spike(names: list[str]) -> str:
@@ -317,7 +317,7 @@ SUMMARY = {
 
 def all_features() -> str:
     fit = AMOUNT_FIT.replace(TRAIN, TRAIN_MERGED)
-    vel = velocity(ENTITIES, "tagged", extra="split, ", within="split, ", digits=6)
+    vel = velocity(ENTITIES, "tagged", extra="split, ", within="split, ")
     made = {**TEMPORAL, **amounts(6), **spike_columns(), **EMAIL, **presence(6)}
     return f"""WITH {fit}{ADDRESS_FIT}, vel AS ({vel}),
 rest AS (SELECT TransactionID, {cols(made)}, {ADDRESS_COLS} FROM merged {SPIKE_JOINS} LEFT JOIN addr ON card1 = ac)
@@ -330,7 +330,7 @@ def oracle_sql() -> dict[str, str]:
         "s1_csv_scan": f"WITH {MERGED} SELECT * REPLACE (id_01::DOUBLE AS id_01) FROM merged",
         "s3_split_sink": f"WITH {TXN}, {tagged('txn')} SELECT split, TransactionID, TransactionDT, TransactionAmt FROM tagged",
         "s7_report_sink": f"""WITH {RANKED}, {CURVES}
-SELECT model, {r('pr_auc', 'pr_auc', 6)}, {r('roc_auc', 'roc_auc', 6)}, {r('brier_score', 'brier_score', 6)}
+SELECT model, {r('pr_auc', 'pr_auc')}, {r('roc_auc', 'roc_auc')}, {r('brier_score', 'brier_score')}
 FROM ap JOIN brier USING (model)""",
         "s8_artefact_sink": _importance(),
         "s9_narrowing": f"WITH {MERGED} " + " UNION ALL ".join(_narrow(c) for c in MERGED_COLUMNS),
@@ -345,8 +345,8 @@ FROM ap JOIN brier USING (model)""",
   count(*) AS n_transactions,
   round((SELECT count(*) FROM identity WHERE TransactionID IN (SELECT TransactionID FROM txn)) / count(*), 9) AS join_rate
 FROM txn""",
-        "j3_lookup_join": f"""WITH {AMOUNT_FIT} SELECT TransactionID, {r('coalesce(mean_card1, gm)', 'card1_mean', 6)},
-  {r('coalesce(std_card1, gs)', 'card1_std', 6)} FROM txn LEFT JOIN enc_card1 ON card1 = ek_card1 CROSS JOIN glob""",
+        "j3_lookup_join": f"""WITH {AMOUNT_FIT} SELECT TransactionID, {r('coalesce(mean_card1, gm)', 'card1_mean')},
+  {r('coalesce(std_card1, gs)', 'card1_std')} FROM txn LEFT JOIN enc_card1 ON card1 = ek_card1 CROSS JOIN overall""",
         "a1_split_summary": f"""WITH {TXN}, {tagged('txn')} SELECT split, count(*) AS n_rows, min(TransactionDT) AS dt_min,
   max(TransactionDT) AS dt_max, {r('avg(isFraud)', 'label_rate')},
   {r('100.0 * count(*) / (SELECT count(*) FROM txn)', 'pct_rows')} FROM tagged GROUP BY split""",
@@ -520,7 +520,7 @@ SELECT model, {r('auc', 'roc_auc')}, {r('2 * auc - 1', 'gini')} FROM a""",
         "v9_metrics_matrix": f"""WITH {RANKED}, {CURVES}, {KS}, {ECE} SELECT model, {r('pr_auc', 'pr_auc')}, {r('roc_auc', 'roc_auc')},
   {r('2 * roc_auc - 1', 'gini')}, {r('ks_statistic', 'ks_statistic')}, {r('brier_score', 'brier_score')}, {r('ece', 'ece')}, {M50}, {BEST}
 FROM ap JOIN m50 USING (model) JOIN brier USING (model) JOIN best USING (model) JOIN ks USING (model) JOIN ece USING (model)""",
-        "v10_calibration_curve": f"""WITH {RANKED}, b AS (SELECT model, score, y, len(list_filter({ECE_EDGES}::DOUBLE[][2:], lambda e: e < score)) AS bin FROM long)
+        "v10_calibration_curve": f"""WITH {RANKED}, b AS (SELECT model, score, y, len(list_filter(({ECE_EDGES}::DOUBLE[])[2:], lambda e: e < score)) AS bin FROM long)
 SELECT model, CAST(bin AS INT) AS bin, {r('avg(score)', 'mean_pred')}, {r('avg(y)', 'frac_pos')}, count(*) AS n FROM b GROUP BY model, bin""",
         "v11_uncertainty_summary": f"""WITH {SCORED}, s AS (SELECT avg(hdi_width) AS a, avg(hdi_width) FILTER (y = 1) AS f,
   avg(hdi_width) FILTER (y = 0) AS l, avg(std) FILTER (y = 1) AS sf, avg(std) FILTER (y = 0) AS sl,
