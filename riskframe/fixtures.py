@@ -48,8 +48,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def txn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(_TXN, events=table(spark, sf_dir, "events"))
+def txn(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """`events` may be a stream over the same table."""
+    return spark.sql(_TXN, events=events if events is not None else table(spark, sf_dir, "events"))
 
 
 def identity(spark: SparkSession, sf_dir: str) -> DataFrame:

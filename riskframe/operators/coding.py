@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -99,9 +99,10 @@ def apply_codes(
         if name not in df.columns:
             continue
         value = F.coalesce(F.col(name), F.lit(null_class)) if null_class is not None else F.col(name)
-        keyed = out.withColumn("value", value)
-        coded = lookup_join(keyed, lookup, {"__code": F.col("code")}, spread_by=spread)
-        out = coded.withColumn(name, F.coalesce("__code", F.lit(unseen)).cast("int")).drop("__code", "value")
+        keyed = out.withColumn("__value", value)
+        codes = replace(lookup.select(F.col("value").alias("__value"), "code", "n"), keys=("__value",))
+        coded = lookup_join(keyed, codes, {"__code": F.col("code")}, spread_by=spread)
+        out = coded.withColumn(name, F.coalesce("__code", F.lit(unseen)).cast("int")).drop("__code", "__value")
     return out.select(*df.columns)
 
 

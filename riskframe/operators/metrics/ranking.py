@@ -40,7 +40,11 @@ def ranked_scores(
 
     tp / k are the positives / rows at or above the score, pos / total those of the whole model.
     """
-    long = long_scores(scored, scores, label)
+    return ranked_long(long_scores(scored, scores, label), single_task_rows)
+
+
+def ranked_long(long: DataFrame, single_task_rows: int | None = None) -> DataFrame:
+    """`ranked_scores` of rows that are already (model, score, y)."""
     profile = order_profile(long, "score", single_task_rows)
     totals = running_totals(score_table(long), "score", ["p", "n"], ["model"], descending=True, profile=profile)
     return totals.select(

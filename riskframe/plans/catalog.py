@@ -13,11 +13,14 @@ from pyspark.sql import types as T
 
 from riskframe import fixtures as fx
 from riskframe.functions import columns as C
+from riskframe.models import attribution, bayes, pca, trees
 from riskframe.operators import blocks, coding, encoders, joins, profile, sampling, split, velocity
 from riskframe.operators.metrics import calibration, ranking, report, uncertainty
+from riskframe.plans.evaluation import FraudEvaluator, score_both
 from riskframe.plans.features import FeaturePipeline, PipelineConfig
-from riskframe.session import new_folder
+from riskframe.session import materialize, new_folder
 from riskframe.sources import narrowing, sinks, tables
+from riskframe.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 DIGITS = 9
@@ -503,6 +506,203 @@ def v1_pr_auc_documents(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(ranking.average_precision(ranking.ranked_scores(scored, ["length"])))
 
 
+# --- models ------------------------------------------------------------------------------------------
+
+
+def model_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """All rows with `split` and the row-wise and encoder features, written once for the several fits."""
+    rows = split.assign_split(merged(spark, sf))
+    plan = FeaturePipeline(PipelineConfig(run_velocity=False))
+    return materialize(plan.fit(rows.where("split = 'train'")).transform(rows))
+
+
+def part(rows: DataFrame, name: str) -> DataFrame:
+    return rows.where(F.col("split") == name).drop("split")
+
+
+QUICK = trees.TrainerConfig(n_trials=2, n_estimators=8, max_depth_cap=5)
+QUICK_PARAMS = trees.TreeParams(max_depth=4, max_iter=8, scale_pos_weight=10.0)
+TREE_INPUTS = ["TransactionAmt", "ProductCD", "amt_zscore_card1", "hour_of_day", "email_tld_match", "r_email_tld"]
+
+
+def tree_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return model_rows(spark, sf).select("TransactionID", "isFraud", "split", *TREE_INPUTS)
+
+
+def fitted_trees(rows: DataFrame) -> trees.TreeScorer:
+    scorer = trees.TreeScorer(QUICK)
+    scorer.train_final(part(rows, "train"), part(rows, "val"), params=QUICK_PARAMS)
+    return scorer
+
+
+def m2_tree_fit(spark: SparkSession, sf: str) -> DataFrame:
+    rows = tree_rows(spark, sf)
+    return rounded(fitted_trees(rows).evaluate(part(rows, "test")))
+
+
+def m3_random_search(spark: SparkSession, sf: str) -> DataFrame:
+    rows = tree_rows(spark, sf)
+    return trees.TreeScorer(QUICK).tune(part(rows, "train"), part(rows, "val"))
+
+
+def m4_tree_scores(spark: SparkSession, sf: str) -> DataFrame:
+    rows = tree_rows(spark, sf)
+    return rounded(fitted_trees(rows).predict_proba(rows, keep=["TransactionID", "isFraud"]))
+
+
+def m5_feature_importance(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(fitted_trees(tree_rows(spark, sf)).get_feature_importance(spark))
+
+
+BAYES_INPUTS = ["log1p_amt", "hour_of_day", "is_night", "email_tld_match", "has_identity", "amt_zscore_card1"]
+
+
+def fitted_bayes(rows: DataFrame) -> bayes.BayesLogit:
+    config = bayes.BayesConfig(features=list(BAYES_INPUTS), n_sample_max=None)
+    return bayes.BayesLogit(config).fit(part(rows, "train"))
+
+
+def m7_posterior_fit(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(fitted_bayes(model_rows(spark, sf)).get_coefficient_summary(spark), 6)
+
+
+STEP_AT = (-3.0, 0.5, -0.2)  # a point of the parameter space
+
+
+def m7_newton_step(spark: SparkSession, sf: str) -> DataFrame:
+    """Gradient and curvature sums of one step over all rows."""
+    rows = fx.txn(spark, sf).select(
+        "isFraud", F.log1p("TransactionAmt").alias("x1"), C.is_night(C.hour_of_day(_dt())).cast("double").alias("x2")
+    )
+    return rounded(bayes.newton_sums(rows, ["x1", "x2"], STEP_AT), 5)
+
+
+# Three posterior draws (intercept, weight of log1p_amt).
+DRAWS = [(-3.0, [0.5]), (-2.9, [0.4]), (-3.1, [0.6])]
+
+
+def j5_posterior_draws(spark: SparkSession, sf: str) -> DataFrame:
+    xs = [F.log1p("TransactionAmt")]
+    return rounded(bayes.explode_draws(fx.txn(spark, sf), xs, bayes.draw_column(DRAWS), ["TransactionID"]))
+
+
+def m8_posterior_predictive(spark: SparkSession, sf: str) -> DataFrame:
+    xs = [F.log1p("TransactionAmt")]
+    rows = bayes.summarise_draws(fx.txn(spark, sf), xs, bayes.draw_column(DRAWS), ["TransactionID"], len(DRAWS))
+    return rounded(rows)
+
+
+def m8_posterior_scores(spark: SparkSession, sf: str) -> DataFrame:
+    rows = model_rows(spark, sf)
+    return rounded(fitted_bayes(rows).predict(rows), 6)
+
+
+def m9_coefficient_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """One draw per card: the summary operator over a table that grows with the data."""
+    draws = fx.txn(spark, sf).groupBy(F.col("card1").alias("draw_id")).agg(
+        (F.avg(F.log1p("TransactionAmt")) - 3.0).alias("alpha"),
+        F.array(
+            F.avg(F.col("TransactionAmt") / 100.0) - 0.5, F.avg(F.col("isFraud").cast("double"))
+        ).alias("beta"),
+    )
+    return rounded(bayes.coefficient_summary(draws, ["amount", "label"]), 6)
+
+
+WEIGHTS = {"TransactionAmt": 0.8, "addr1": -0.3, "addr2": 0.45}
+
+
+def m10_linear_attribution(spark: SparkSession, sf: str) -> DataFrame:
+    scaler = coding.Scaler.fit(train_rows(spark, sf), SCALED)
+    return rounded(attribution.linear_contributions(fx.txn(spark, sf), scaler, WEIGHTS, top_k=2), 6)
+
+
+def m11_permutation_importance(spark: SparkSession, sf: str) -> DataFrame:
+    rows = tree_rows(spark, sf)
+    scorer = fitted_trees(rows)
+    score = lambda df: scorer.predict_proba(df, keep=["isFraud"])
+    return rounded(attribution.permutation_importance(part(rows, "test"), TREE_INPUTS[:3], score))
+
+
+def m12_pca(spark: SparkSession, sf: str) -> DataFrame:
+    """The embedding dimensions stand in for the vendor block."""
+    table = fx.table(spark, sf, "embeddings")
+    width = len(table.select("embedding").first()[0])
+    block = [F.col("embedding")[i].cast("double").alias(f"V{i + 1}") for i in range(width)]
+    rows = table.select(F.col("vec_id").alias("TransactionID"), F.col("label").alias("isFraud"), *block)
+    result = pca.pca_block(rows)
+    shares = {f"explained{i + 1}": F.lit(v) for i, v in enumerate(result.explained)}
+    return rounded(result.projected.withColumns(shares), 6)
+
+
+def m13_persistence(spark: SparkSession, sf: str) -> DataFrame:
+    """Both models saved and loaded; scores of the loaded models next to those of the originals."""
+    rows = model_rows(spark, sf)
+    folder = new_folder(spark, "models")
+    scorer = fitted_trees(rows.select("TransactionID", "isFraud", "split", *TREE_INPUTS))
+    scorer.save(spark, f"{folder}/trees")
+    logit = fitted_bayes(rows)
+    logit.save(spark, f"{folder}/bayes")
+    tests = part(rows, "test")
+    before = score_both(tests, scorer, logit)
+    after = score_both(
+        tests, trees.TreeScorer.load(spark, f"{folder}/trees"), bayes.BayesLogit.load(spark, f"{folder}/bayes")
+    )
+    again = after.select("TransactionID", F.col("score_a").alias("again_a"), F.col("score_b").alias("again_b"))
+    return rounded(before.join(again, "TransactionID").select("TransactionID", "score_a", "again_a", "score_b", "again_b"))
+
+
+def v19_full_evaluation(spark: SparkSession, sf: str) -> DataFrame:
+    rows = model_rows(spark, sf)
+    scorer = fitted_trees(rows.select("TransactionID", "isFraud", "split", *TREE_INPUTS))
+    scored = score_both(part(rows, "test"), scorer, fitted_bayes(rows))
+    path = f"{new_folder(spark, 'evaluation')}/report"
+    FraudEvaluator(scored).run(path)
+    return sinks.read_report(spark, path).drop("elapsed_s")
+
+
+# --- streams -----------------------------------------------------------------------------------------
+
+
+def _drain(query) -> None:
+    query.awaitTermination()
+
+
+def t1_stream_features(spark: SparkSession, sf: str) -> DataFrame:
+    folder = new_folder(spark, "stream")
+    fitted = FeaturePipeline(PipelineConfig(run_velocity=False)).fit(train_rows(spark, sf))
+    stream = fx.txn(spark, sf, jobs.read_table_stream(spark, sf, "events"))
+    _drain(jobs.write_stream(jobs.row_features(stream, fitted), f"{folder}/out", f"{folder}/state"))
+    out = spark.read.parquet(f"{folder}/out")
+    return rounded(out.select("TransactionID", *TEMPORAL, *AMOUNTS, *RATIOS, *ZSCORES, *EMAILS, *MODES, *UNIQUES), 6)
+
+
+def t2_stream_velocity(spark: SparkSession, sf: str) -> DataFrame:
+    folder = new_folder(spark, "stream")
+    stream = fx.txn(spark, sf, jobs.read_table_stream(spark, sf, "events"))
+    _drain(
+        jobs.velocity_stream(
+            stream, f"{folder}/out", f"{folder}/history", f"{folder}/state", entity_cols=["card1"], amount_scale=CENTS
+        )
+    )
+    out = spark.read.parquet(f"{folder}/out")
+    return out.select("TransactionID", *velocity.expected_feature_names(["card1"]))
+
+
+def t3_label_monitor(spark: SparkSession, sf: str) -> DataFrame:
+    """The last window stays open on the stream until the watermark passes it; the batch part closes it."""
+    folder = new_folder(spark, "stream")
+
+    def hourly(events: DataFrame) -> DataFrame:
+        is_error = (F.col("event_type") == "error").cast("int")
+        rows = events.select(F.col("ts").cast("timestamp").alias("at"), is_error.alias("isFraud"))
+        return jobs.label_rate_monitor(rows, "at")
+
+    _drain(jobs.write_stream(hourly(jobs.read_table_stream(spark, sf, "events")), f"{folder}/out", f"{folder}/state"))
+    closed = spark.read.parquet(f"{folder}/out")
+    still_open = hourly(fx.table(spark, sf, "events")).join(closed, "window_start", "left_anti")
+    return rounded(closed.unionByName(still_open).withColumn("window_start", F.col("window_start").cast("timestamp_ntz")))
+
+
 def queries() -> dict[str, Query]:
     v = uncertainty
     return {
@@ -617,5 +817,23 @@ def queries() -> dict[str, Query]:
         "m1_class_weight": lambda spark, sf: rounded(
             profile.class_balance(train_rows(spark, sf)).select("scale_pos_weight")
         ),
+        "m2_tree_fit": m2_tree_fit,
+        "m3_random_search": m3_random_search,
+        "m4_tree_scores": m4_tree_scores,
+        "m5_feature_importance": m5_feature_importance,
         "m6_short_metrics": _scored(lambda d: report.short_metrics(d, MODELS, rounded=False)),
+        "m7_posterior_fit": m7_posterior_fit,
+        "m7_newton_step": m7_newton_step,
+        "j5_posterior_draws": j5_posterior_draws,
+        "m8_posterior_predictive": m8_posterior_predictive,
+        "m8_posterior_scores": m8_posterior_scores,
+        "m9_coefficient_summary": m9_coefficient_summary,
+        "m10_linear_attribution": m10_linear_attribution,
+        "m11_permutation_importance": m11_permutation_importance,
+        "m12_pca": m12_pca,
+        "m13_persistence": m13_persistence,
+        "v19_full_evaluation": v19_full_evaluation,
+        "t1_stream_features": t1_stream_features,
+        "t2_stream_velocity": t2_stream_velocity,
+        "t3_label_monitor": t3_label_monitor,
     }

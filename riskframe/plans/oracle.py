@@ -302,6 +302,8 @@ BEST = (
     "round(rec, 9) AS recall_at_optimal"
 )
 
+DRAWS = "draws(draw_id, alpha, beta) AS (VALUES (0, -3.0::DOUBLE, 0.5::DOUBLE), (1, -2.9, 0.4), (2, -3.1, 0.6))"
+P_DRAW = "1.0 / (1.0 + exp(-(alpha + beta * ln(1 + TransactionAmt))))"
 SUMMARY = {
     "total_transactions": "count(*)::DOUBLE",
     "fraud_rate": "avg(isFraud)",
@@ -565,6 +567,36 @@ SELECT split, round(sum(p / pp * tp / k), 9) AS pr_auc FROM h GROUP BY split""",
   AS scale_pos_weight FROM train""",
         "m6_short_metrics": f"""WITH {RANKED}, {CURVES} SELECT model, {r('pr_auc', 'pr_auc')}, {r('roc_auc', 'roc_auc')}, {M50}
 FROM ap JOIN m50 USING (model)""",
+        "m7_newton_step": f"""WITH {TXN}, x AS (SELECT isFraud AS y, 1.0::DOUBLE AS x0, ln(1 + TransactionAmt) AS x1,
+  ({TEMPORAL['is_night']})::DOUBLE AS x2 FROM txn),
+z AS (SELECT *, 1.0 / (1.0 + exp(-(-3.0 + 0.5 * x1 - 0.2 * x2))) AS p FROM x) SELECT """
+        + ", ".join(r(f"sum((y - p) * x{i})", f"g{i}", 5) for i in range(3))
+        + ", "
+        + ", ".join(r(f"sum(p * (1 - p) * x{i} * x{j})", f"h{i}_{j}", 5) for i in range(3) for j in range(i, 3))
+        + " FROM z",
+        "j5_posterior_draws": f"""WITH {TXN}, {DRAWS} SELECT TransactionID, draw_id, {r(P_DRAW, 'p')} FROM txn CROSS JOIN draws""",
+        "m8_posterior_predictive": f"""WITH {TXN}, {DRAWS}, ps AS (SELECT TransactionID, {P_DRAW} AS p FROM txn CROSS JOIN draws)
+SELECT TransactionID, {r('avg(p)', 'mean_proba')}, {r('stddev_pop(p)', 'uncertainty')},
+  {r('quantile_cont(p, 0.03)', 'hdi_lower')}, {r('quantile_cont(p, 0.97)', 'hdi_upper')} FROM ps GROUP BY TransactionID""",
+        "m9_coefficient_summary": f"""WITH {TXN}, d AS (SELECT card1, avg(ln(1 + TransactionAmt)) - 3.0 AS a,
+  avg(TransactionAmt / 100.0) - 0.5 AS b, avg(isFraud) AS c FROM txn GROUP BY card1),
+u AS (SELECT 'intercept' AS feature, a AS v FROM d UNION ALL SELECT 'amount', b FROM d UNION ALL SELECT 'label', c FROM d),
+s AS (SELECT feature, avg(v) AS m, stddev_samp(v) AS sd, quantile_cont(v, 0.03) AS lo, quantile_cont(v, 0.97) AS hi FROM u GROUP BY feature)
+SELECT feature, {r('m', 'mean', 6)}, {r('sd', 'sd', 6)}, {r('lo', 'interval_low', 6)}, {r('hi', 'interval_high', 6)},
+  (lo > 0 OR hi < 0) AS significant, CASE WHEN m > 0 THEN 'increases fraud risk' ELSE 'decreases fraud risk' END AS direction FROM s""",
+        "m10_linear_attribution": f"""WITH {TRAIN}, st AS (SELECT {SCALE_STATS} FROM train), c AS ("""
+        + " UNION ALL ".join(
+            f"SELECT TransactionID, '{c}' AS feature, {w} * (coalesce({c}, 0) - m_{c}) / s_{c} AS v FROM txn, st"
+            for c, w in (("TransactionAmt", 0.8), ("addr1", -0.3), ("addr2", 0.45))
+        )
+        + f"""), k AS (SELECT *, row_number() OVER (PARTITION BY TransactionID ORDER BY abs(v) DESC, feature) AS rank FROM c)
+SELECT TransactionID, CAST(rank AS INT) AS rank, feature, {r('v', 'contribution', 6)} FROM k WHERE rank <= 2""",
+        "t1_stream_features": f"""WITH {AMOUNT_FIT}{ADDRESS_FIT} SELECT TransactionID,
+  {cols({**TEMPORAL, **amounts(6), **spike_columns(), **EMAIL})}, {ADDRESS_COLS}
+FROM txn {SPIKE_JOINS} LEFT JOIN addr ON card1 = ac""",
+        "t2_stream_velocity": f"WITH {TXN} " + velocity(["card1"], "txn"),
+        "t3_label_monitor": """SELECT date_trunc('hour', ts) AS window_start, count(*) AS n,
+  round(avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END), 9) AS label_rate FROM events GROUP BY 1""",
     }
 
 

@@ -28,6 +28,11 @@ def _read(
         raise
 
 
+def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table; a missing path is a FileNotFoundError."""
+    return _read(spark, path)
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, infer: bool = False) -> DataFrame:
     """CSV with a header. Types come from the declared schema, by column name, without a pass over the data."""
     if infer:
