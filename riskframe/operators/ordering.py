@@ -141,21 +141,31 @@ def exact_quantiles(
     return points.groupBy(*by).agg(packed.getField("q").alias(name))
 
 
-def kth_key(df: DataFrame, keys: Sequence[str], k: int, single_task_rows: int | None = None) -> tuple:
-    """The 0-based k-th smallest tuple of non-null numeric `keys`, by repeated narrowing of the first key.
+def kth_keys(
+    df: DataFrame, keys: Sequence[str], ks: Sequence[int], rows: int | None = None, single_task_rows: int | None = None
+) -> list[tuple]:
+    """The 0-based k-th smallest tuples of non-null numeric `keys`, one per k.
 
-    Each round is one count per bucket; only the bucket that holds rank k is kept.
+    `rows` is the number of rows of `df` where the caller knows it. Small inputs take one window; larger
+    ones are narrowed round by round, each round being one count per bucket.
     """
     limit = single_task_rows or SINGLE_TASK_ROWS
-    first, rest = keys[0], list(keys[1:])
     data = df.select(*keys)
+    if (data.count() if rows is None else rows) > limit:
+        return [_narrow_to(data, list(keys), k, limit) for k in ks]
+    ranked = data.withColumn("__rn", F.row_number().over(W.orderBy(*keys)))
+    found = ranked.where(F.col("__rn").isin([k + 1 for k in ks])).collect()  # one row per k
+    at = {r["__rn"] - 1: tuple(r[c] for c in keys) for r in found}
+    return [at[k] for k in ks]
+
+
+def _narrow_to(data: DataFrame, keys: list[str], k: int, limit: int) -> tuple:
+    first, rest = keys[0], keys[1:]
     while True:
         profile = order_profile(data, first, limit)
         if not profile.cuts:
-            rank = W.orderBy(*keys)
-            row = data.select(*keys, F.row_number().over(rank).alias("__rn")).where(F.col("__rn") == k + 1).first()
-            return tuple(row[c] for c in keys)
-        counts = with_bucket(data, first, profile).groupBy(_BUCKET).count().collect()  # at most MAX_BUCKETS x 2
+            return kth_keys(data, keys, [k], profile.rows, limit)[0]
+        counts = with_bucket(data, first, profile).groupBy(_BUCKET).count().collect()  # at most 2 x MAX_BUCKETS
         for row in sorted(counts, key=lambda r: r[_BUCKET]):
             if k < row["count"]:
                 break
@@ -164,10 +174,8 @@ def kth_key(df: DataFrame, keys: Sequence[str], k: int, single_task_rows: int |
         as_double = F.col(first).cast("double")
         data = data.where((as_double >= F.lit(low)) & (as_double < F.lit(high)))
         ends = data.agg(F.min(first).alias("lo"), F.max(first).alias("hi")).first()
-        if ends["lo"] == ends["hi"] and rest:
-            return (ends["lo"], *kth_key(data, rest, k, limit))
-        if ends["lo"] == ends["hi"]:
-            return (ends["lo"],)
+        if ends["lo"] == ends["hi"]:  # all rows left share the first key
+            return (ends["lo"], *(_narrow_to(data, rest, k, limit) if rest else ()))
 
 
 def before_key(keys: Sequence[str], cut: tuple) -> Column:

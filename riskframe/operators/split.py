@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.operators.ordering import before_key, kth_key
+from riskframe.operators.ordering import before_key, kth_keys
 from riskframe.schema import ID, LABEL, TIME, require
 
 SPLITS = ("train", "val", "test")
@@ -43,22 +43,24 @@ def assign_split(
     The full table is never sorted or shuffled: each row is compared with two literal cut points.
     """
     require(df, [config.time_col, config.id_col], "assign_split")
-    total = df.count()
-    cuts = [int(total * config.train_frac), int(total * (config.train_frac + config.val_frac))]
     time, key = F.col(config.time_col), config.id_col
-    ranked = df.select(F.when(time.isNull(), 1).otherwise(0).alias("late"), time.alias("t"), F.col(key).alias("id"))
-    timed = ranked.where("late = 0")
-    n_timed = timed.count()
+    sizes = df.agg(F.count(F.lit(1)).alias("n"), F.count(time).alias("timed")).first()
+    total, timed = sizes["n"], sizes["timed"]
+    cuts = [int(total * config.train_frac), int(total * (config.train_frac + config.val_frac))]
+    early = [c for c in cuts if c < timed]
+    at = dict(zip(early, kth_keys(df.where(time.isNotNull()), [config.time_col, key], early, timed, single_task_rows)))
+    late = [c for c in cuts if timed <= c < total]
+    if late:  # a cut among the rows without a time: those are ordered by id alone
+        untimed = kth_keys(df.where(time.isNull()), [key], [c - timed for c in late], total - timed, single_task_rows)
+        at.update(zip(late, untimed))
     tests: list[Column] = []
     for cut in cuts:
         if cut >= total:
             tests.append(F.lit(True))
-        elif cut < n_timed:
-            at = kth_key(timed, ["t", "id"], cut, single_task_rows)
-            tests.append(F.coalesce(before_key([config.time_col, key], at), F.lit(False)))
+        elif cut < timed:
+            tests.append(F.coalesce(before_key([config.time_col, key], at[cut]), F.lit(False)))
         else:
-            at = kth_key(ranked.where("late = 1"), ["id"], cut - n_timed, single_task_rows)
-            tests.append(time.isNotNull() | (F.col(key) < F.lit(at[0])))
+            tests.append(time.isNotNull() | (F.col(key) < F.lit(at[cut][0])))
     return df.withColumn("split", F.when(tests[0], "train").when(tests[1], "val").otherwise("test"))
 
 
