@@ -52,10 +52,11 @@ def best_threshold(scored: DataFrame, score: str = "score_a", label: str = "y")
 
 def _queues(scored: DataFrame, percentiles: Sequence[float], score: str, label: str) -> DataFrame:
     """One row: totals of the table and an array with one struct per queue."""
+    best = best_threshold(scored, score, label)
     data = scored.select(
         (F.col(label) == 1).alias("hit"),
         F.col(WIDTH).alias("w"),
-        ((F.col(label) == 1) & (F.col(score) < best_threshold(scored, score, label))).alias("missed"),
+        ((F.col(label) == 1) & (F.col(score) < best)).alias("missed"),
     )
     cuts = exact_quantiles(scored, WIDTH, percentiles).select("q").scalar()
     count = lambda test: F.sum(test.cast("long"))
@@ -85,37 +86,39 @@ def _queues(scored: DataFrame, percentiles: Sequence[float], score: str, label:
                 (100.0 * hits / F.greatest(size, F.lit(1))).alias("queue_precision_pct"),
             )
         )
-    return data.agg(*aggs).select("total", "positives", "n_fn", F.array(*items).alias("queues"))
-
-
-def fn_recovery(
-    scored: DataFrame,
-    percentiles: Sequence[float] = UNCERTAINTY_PERCENTILES,
-    score: str = "score_a",
-    label: str = "y",
-) -> DataFrame:
-    """Missed positives that each uncertainty-guided review queue would surface."""
-    return _queues(scored, percentiles, score, label).select(F.inline("queues"))
+    return data.agg(*aggs).select(
+        "total", "positives", "n_fn", best.alias("optimal_threshold"), F.array(*items).alias("queues")
+    )
 
 
-def fn_summary(
+def review_queues(
     scored: DataFrame,
     percentiles: Sequence[float] = UNCERTAINTY_PERCENTILES,
     score: str = "score_a",
     label: str = "y",
-) -> DataFrame:
-    """One row: number of misses and the headline queue (p75, or the last one)."""
+) -> tuple[DataFrame, DataFrame]:
+    """Summary row (misses and the headline queue: p75, or the last one) and one row per review queue."""
     probs = list(percentiles)
     at = probs.index(HEADLINE_PERCENTILE) if HEADLINE_PERCENTILE in probs else len(probs) - 1
-    row = F.col("queues")[at]
-    return _queues(scored, probs, score, label).select(
-        best_threshold(scored, score, label).alias("optimal_threshold"),
+    queues, row = _queues(scored, probs, score, label), F.col("queues")[at]
+    summary = queues.select(
+        "optimal_threshold",
         F.col("n_fn").alias("total_false_negatives"),
         (100.0 * F.col("n_fn") / F.greatest(F.col("positives"), F.lit(1))).alias("fn_miss_rate_pct"),
         row["review_queue_pct_all"].alias("headline_queue_size_pct"),
         row["fn_recovery_pct"].alias("headline_fn_recovery_pct"),
         row["queue_precision_pct"].alias("headline_queue_precision_pct"),
     )
+    return summary, queues.select(F.inline("queues"))
+
+
+def fn_recovery(scored: DataFrame, percentiles: Sequence[float] = UNCERTAINTY_PERCENTILES) -> DataFrame:
+    """Missed positives that each uncertainty-guided review queue would surface."""
+    return review_queues(scored, percentiles)[1]
+
+
+def fn_summary(scored: DataFrame, percentiles: Sequence[float] = UNCERTAINTY_PERCENTILES) -> DataFrame:
+    return review_queues(scored, percentiles)[0]
 
 
 def recovery_gain(recovery: DataFrame) -> DataFrame:
