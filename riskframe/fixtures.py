@@ -35,6 +35,13 @@ SELECT o_orderkey AS TransactionID,
 FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey
 """
 
+_TXN_LINEITEM = """
+SELECT l_orderkey * 10 + l_linenumber AS TransactionID,
+  timestampdiff(SECOND, TIMESTAMP_NTZ '1995-01-01 00:00:00', l_shipdate) AS TransactionDT,
+  l_extendedprice AS TransactionAmt, l_suppkey AS card1, l_returnflag AS addr1, l_linestatus AS addr2
+FROM {lineitem}
+"""
+
 _SCORED = """
 SELECT TransactionID, TransactionDT, TransactionAmt, isFraud AS y,
   CAST((TransactionID * 7919) % 700 + 300 * isFraud AS DOUBLE) / 1000 AS score_a,
@@ -62,6 +69,11 @@ def txn_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(_TXN_ORDERS, **tables)
 
 
+def txn_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest table as transactions, with two entities of very few values."""
+    return spark.sql(_TXN_LINEITEM, lineitem=table(spark, sf_dir, "lineitem"))
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two scores with ties and an interval width; `std` is a quarter of the width."""
     df = spark.sql(_SCORED, txn=txn(spark, sf_dir))

@@ -259,6 +259,13 @@ def w4_velocity_ties(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("TransactionID", *velocity.expected_feature_names(entities))
 
 
+def w4_velocity_bulk(spark: SparkSession, sf: str) -> DataFrame:
+    """The largest table; one entity holds a third of the rows, another has as many values as suppliers."""
+    entities = ["card1", "addr1", "addr2"]
+    out = velocity.compute_velocity_features(fx.txn_lineitem(spark, sf), entities, amount_scale=CENTS)
+    return out.select("TransactionID", *velocity.expected_feature_names(entities))
+
+
 def w6_null_entity(spark: SparkSession, sf: str) -> DataFrame:
     out = velocity.compute_velocity_features(fx.txn(spark, sf), ["addr1"], amount_scale=CENTS)
     nulls = out.where("addr1 IS NULL")
@@ -465,10 +472,13 @@ def e10_identity_block(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def feature_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """All rows with `split` and the 54 features; velocity stays inside each split."""
-    rows = split.assign_split(merged(spark, sf))
+    """All rows with `split` and the 54 features; velocity stays inside each split.
+
+    The split and the encoders need no identity column, so they are taken before the join.
+    """
+    rows = tagged(spark, sf)
     plan = FeaturePipeline(PipelineConfig(amount_scale=CENTS, velocity_within=["split"]))
-    return plan.fit(rows.where("split = 'train'")).transform(rows)
+    return plan.fit(rows.where("split = 'train'")).transform(joins.merge_tables(rows, fx.identity(spark, sf)))
 
 
 FEATURES = [*velocity.expected_feature_names(), *TEMPORAL, *AMOUNTS, *RATIOS, *ZSCORES, *EMAILS, *MODES, *UNIQUES, *PRESENCE]
@@ -511,9 +521,9 @@ def v1_pr_auc_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 def model_rows(spark: SparkSession, sf: str) -> DataFrame:
     """All rows with `split` and the row-wise and encoder features, written once for the several fits."""
-    rows = split.assign_split(merged(spark, sf))
-    plan = FeaturePipeline(PipelineConfig(run_velocity=False))
-    return materialize(plan.fit(rows.where("split = 'train'")).transform(rows))
+    rows = tagged(spark, sf)
+    plan = FeaturePipeline(PipelineConfig(run_velocity=False)).fit(rows.where("split = 'train'"))
+    return materialize(plan.transform(joins.merge_tables(rows, fx.identity(spark, sf))))
 
 
 def part(rows: DataFrame, name: str) -> DataFrame:
@@ -742,6 +752,7 @@ def queries() -> dict[str, Query]:
         "w3_rolling_mean": w3_rolling_mean,
         "w4_velocity_grid": w4_velocity_grid,
         "w4_velocity_ties": w4_velocity_ties,
+        "w4_velocity_bulk": w4_velocity_bulk,
         "w6_null_entity": w6_null_entity,
         "w7_score_prefix": w7_score_prefix,
         "w8_moving_average": w8_moving_average,

@@ -37,6 +37,12 @@ SELECT o_orderkey AS TransactionID,
   CAST(CASE WHEN o_orderpriority = '1-URGENT' AND o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS INT) AS isFraud
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
 
+LINEITEM = """txn_lineitem AS (
+SELECT l_orderkey * 10 + l_linenumber AS TransactionID,
+  CAST(floor(epoch(l_shipdate - TIMESTAMP '1995-01-01 00:00:00')) AS BIGINT) AS TransactionDT,
+  l_extendedprice AS TransactionAmt, l_suppkey AS card1, l_returnflag AS addr1, l_linestatus AS addr2
+FROM lineitem)"""
+
 SCORED = f"""{TXN}, scored AS (
 SELECT TransactionID, TransactionDT, TransactionAmt, isFraud AS y,
   CAST((TransactionID * 7919) % 700 + 300 * isFraud AS DOUBLE) / 1000 AS score_a,
@@ -413,6 +419,7 @@ SELECT {r('c', 'coverage_pct')}, {r('a', 'fraud_rate_with')}, {r('b', 'fraud_rat
         "w3_rolling_mean": f"WITH {TXN} " + velocity(["card1"], "txn", ["mean_amt"]),
         "w4_velocity_grid": f"WITH {TXN} " + velocity(ENTITIES, "txn"),
         "w4_velocity_ties": f"WITH {ORDERS} " + velocity(["card1", "addr1", "addr2"], "txn_orders"),
+        "w4_velocity_bulk": f"WITH {LINEITEM} " + velocity(["card1", "addr1", "addr2"], "txn_lineitem"),
         "w6_null_entity": f"WITH {TXN}, u AS (SELECT * FROM txn WHERE addr1 IS NULL) " + velocity(["addr1"], "u"),
         "w7_score_prefix": f"WITH {RANKED} SELECT * FROM ranked",
         "w8_moving_average": f"""WITH {BUCKETS} SELECT bin, round(CASE WHEN count(*) OVER f = 20 THEN avg(fraud_rate) OVER f END, 9) AS fraud_rate_ma

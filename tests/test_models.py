@@ -45,6 +45,15 @@ def test_newton_sums_match_numpy(spark, data, logit):
     assert sd[0] == pytest.approx(1 / np.sqrt(curvature[0]), rel=0.1)
 
 
+def test_block_sums_equal_the_declared_sums(data, logit):
+    scaled = logit.scaler_.transform(data, keep=["isFraud"])
+    theta = np.linspace(-1, 1, len(BAYES_INPUTS) + 1)
+    gradient, curvature = bayes.newton_blocks(scaled, BAYES_INPUTS, theta)
+    row = bayes.newton_sums(scaled, BAYES_INPUTS, theta.tolist()).first()
+    assert gradient == pytest.approx([row[f"g{i}"] for i in range(len(theta))])
+    assert curvature[1, 3] == pytest.approx(row["h1_3"]) and curvature[3, 1] == pytest.approx(row["h1_3"])
+
+
 def test_both_posterior_paths_agree(spark, data, logit):
     """Array expressions and NumPy blocks over the same draws."""
     size = 40

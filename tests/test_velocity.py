@@ -102,6 +102,12 @@ def test_within_separates_groups(txn, method):
     same(got, halves[0].unionByName(halves[1]), "TransactionID")
 
 
+def test_join_back_gives_the_same_features(txn):
+    names = ["TransactionID", "ProductCD", *expected_feature_names()]
+    got = compute_velocity_features(txn, join_on="TransactionID").select(*names)
+    same(got, compute_velocity_features(txn).select(*names), "TransactionID")
+
+
 def test_prefix_needs_one_exchange_per_entity(txn):
     plan = compute_velocity_features(txn, method="prefix")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 3
