@@ -64,15 +64,20 @@ def mean_ratio(amount: Column, mean: Column) -> Column:
 
 
 def clip(value: Column, low: float | None = None, high: float | None = None) -> Column:
-    if low is not None:
-        value = F.when(value < low, F.lit(low)).otherwise(value)
+    """Bounds a value; NULL stays NULL (least and greatest alone would skip it)."""
+    bounded = value
     if high is not None:
-        value = F.when(value > high, F.lit(high)).otherwise(value)
-    return value
+        bounded = F.least(bounded, F.lit(high))
+    if low is not None:
+        bounded = F.greatest(bounded, F.lit(low))
+    return F.when(value.isNotNull(), bounded)
 
 
 def zscore(amount: Column, mean: Column, std: Column) -> Column:
-    return clip((amount - mean) / F.greatest(std, F.lit(RATIO_FLOOR)), -ZSCORE_LIMIT, ZSCORE_LIMIT)
+    """Deviation in units of std, clipped; NULL only where the amount is. `mean` and `std` are never NULL."""
+    score = (amount - mean) / F.greatest(std, F.lit(RATIO_FLOOR))
+    bounded = F.greatest(F.least(score, F.lit(ZSCORE_LIMIT)), F.lit(-ZSCORE_LIMIT))
+    return F.when(amount.isNotNull(), bounded)
 
 
 def email_token(domain: Column) -> Column:

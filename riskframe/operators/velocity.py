@@ -15,11 +15,12 @@ NULL entities form one group, as any other value. Rows of the same second do not
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from riskframe.schema import AMOUNT, ID, TIME, present, require
 
@@ -81,17 +82,14 @@ def compute_velocity_features(
             out = _chunked(out, past, keys, entity, windows, amount_scale)
         else:
             out = _in_place(out, past, keys, entity, windows, amount_scale, chosen[entity] == "sliding")
-    kept = [c for c in out.columns if c in df.columns]
-    cast = {"count": "float" if narrow else "long", "sum": "float", "mean_amt": "float"}
-    added = []
-    for entity in entities:
+        means = {}
         for label in windows:
-            base = f"vel_{entity}_{label}"
-            count, total = F.col(f"{base}_count"), F.col(f"{base}_sum")
-            mean = F.when(count > 0, total / count).otherwise(F.lit(0.0))
-            for stat, value in (("count", count), ("sum", total), ("mean_amt", mean)):
-                added.append((value.cast(cast[stat]) if narrow else value).alias(f"{base}_{stat}"))
-    return out.select(*kept, *added)
+            count, total = F.col(f"vel_{entity}_{label}_count"), F.col(f"vel_{entity}_{label}_sum")
+            means[f"vel_{entity}_{label}_mean_amt"] = F.when(count > 0, total / count).otherwise(F.lit(0.0))
+        out = out.withColumns(means)
+    added = expected_feature_names(entities, windows)
+    kept = [c for c in out.columns if c not in added]
+    return out.select(*kept, *[F.col(c).cast("float") if narrow else F.col(c) for c in added])
 
 
 def _choose(
@@ -99,15 +97,21 @@ def _choose(
 ) -> dict[str, str]:
     if method != "auto":
         return dict.fromkeys(entities, method)
-    rows = df if past is None else df.select(*past.columns).unionByName(past)
-    largest = None
-    for entity in entities:
-        sizes = rows.groupBy(*within, entity).agg(F.count(F.lit(1)).alias("n"))
-        top = sizes.agg(F.lit(entity).alias("entity"), F.max("n").alias("n"))
-        largest = top if largest is None else largest.unionByName(top)
-    if largest is None:
+    if not entities:
         return {}
-    return {r["entity"]: "chunked" if (r["n"] or 0) > limit else "prefix" for r in largest.collect()}
+    # one scan for all entities: counts per (within, entity) by grouping sets, then the largest of each set
+    rows = df.select(*dict.fromkeys([*within, *entities]))
+    if past is not None:
+        rows = rows.unionByName(past.select(*rows.columns))
+    counts = rows.groupingSets([[*within, e] for e in entities], *rows.columns).agg(
+        F.grouping_id().alias("set"), F.count(F.lit(1)).alias("n")
+    )
+    largest = {r["set"]: r["n"] for r in counts.groupBy("set").agg(F.max("n").alias("n")).collect()}
+    last = len(rows.columns) - 1
+    full = (1 << (last + 1)) - 1
+    bits = {c: 1 << (last - i) for i, c in enumerate(rows.columns)}
+    size = {e: largest.get(full - sum(bits[c] for c in {*within, e}), 0) for e in entities}
+    return {e: "chunked" if size[e] > limit else "prefix" for e in entities}
 
 
 def _amount(scale: int | None) -> Column:
@@ -117,18 +121,22 @@ def _amount(scale: int | None) -> Column:
     return F.round(F.col(AMOUNT).cast("double") * (10**scale)).cast("long")
 
 
-def _stats(keys: list[str], n: Column, s: Column, width: int, sliding: bool, scale: int | None) -> tuple[Column, Column]:
-    """Count and sum over `[t - width, t)` from per-row (or per-second) counts and sums."""
-    ordered = W.partitionBy(*keys).orderBy(TIME)
+def _stats(
+    keys: list[str], counted: Callable[[WindowSpec], Column], width: int, sliding: bool, scale: int | None
+) -> tuple[Column, Column]:
+    """Count and sum of `__s` over `[t - width, t)`; `counted` is the aggregate that counts amounts.
+
+    Where the count is positive the growing sum is not NULL, so only the older part needs a default.
+    """
+    ordered, summed = W.partitionBy(*keys).orderBy(TIME), F.sum("__s")
     if sliding:
         frame = ordered.rangeBetween(-width, -1)
-        count, total = F.sum(n).over(frame), F.sum(s).over(frame)
+        count, total = counted(frame), summed.over(frame)
     else:
         now = ordered.rangeBetween(W.unboundedPreceding, -1)
         old = ordered.rangeBetween(W.unboundedPreceding, -width - 1)
-        since = lambda v: F.coalesce(F.sum(v).over(now), F.lit(0)) - F.coalesce(F.sum(v).over(old), F.lit(0))
-        count, total = since(n), since(s)
-    count = F.coalesce(count, F.lit(0)).cast("long")
+        count = counted(now) - counted(old)
+        total = summed.over(now) - F.coalesce(summed.over(old), F.lit(0))
     total = F.when(count > 0, total).otherwise(F.lit(0))
     return count, (total.cast("double") if scale is None else total / float(10**scale))
 
@@ -146,12 +154,12 @@ def _in_place(
     if past is not None:
         seen = past.withColumn("__own", F.lit(False))
         rows = df.withColumn("__own", F.lit(True)).unionByName(seen, allowMissingColumns=True)
-    rows = rows.withColumn("__n", F.col(AMOUNT).isNotNull().cast("long")).withColumn("__s", _amount(scale))
+    rows = rows.withColumn("__s", _amount(scale))
     added = []
     for label, width in windows.items():
-        count, total = _stats(keys, F.col("__n"), F.col("__s"), width, sliding, scale)
+        count, total = _stats(keys, lambda w: F.count("__s").over(w), width, sliding, scale)
         added += [count.alias(f"vel_{entity}_{label}_count"), total.alias(f"vel_{entity}_{label}_sum")]
-    kept = [c for c in rows.columns if c not in ("__n", "__s")]
+    kept = [c for c in rows.columns if c != "__s"]
     out = rows.select(*kept, *added)
     return out if past is None else out.where("__own").drop("__own")
 
@@ -170,7 +178,7 @@ def _chunked(
     )
     added = []
     for label, width in windows.items():
-        count, total = _stats([*keys, "__chunk"], F.col("__n"), F.col("__s"), width, False, scale)
+        count, total = _stats([*keys, "__chunk"], lambda w: F.coalesce(F.sum("__n").over(w), F.lit(0)), width, False, scale)
         added += [count.alias(f"vel_{entity}_{label}_count"), total.alias(f"vel_{entity}_{label}_sum")]
     names = [f"vel_{entity}_{label}_{stat}" for label in windows for stat in ("count", "sum")]
     features = (

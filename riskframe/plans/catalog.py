@@ -149,12 +149,12 @@ def a1_split_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 def a2_entity_mean_std(spark: SparkSession, sf: str) -> DataFrame:
     stats = encoders.amount_statistics(fx.txn(spark, sf), ["addr1"])
-    return rounded(encoders.entity_statistics(stats, "addr1"), 6)
+    return rounded(encoders.entity_statistics(stats, "addr1"))
 
 
 def a3_global_mean_std(spark: SparkSession, sf: str) -> DataFrame:
     stats = encoders.amount_statistics(train_rows(spark, sf), ["card1"])
-    return rounded(stats.where("level IS NULL").select("n", "mean", "std"), 6)
+    return rounded(stats.where("level IS NULL").select("n", "mean", "std"))
 
 
 def a4_entity_mode(spark: SparkSession, sf: str) -> DataFrame:
@@ -415,7 +415,7 @@ def e1_fit_amount(spark: SparkSession, sf: str) -> DataFrame:
             F.lit(entity).alias("entity"), F.col(entity).cast("string").alias("value"), "n", "mean", "std"
         )
         out = part if out is None else out.unionByName(part)
-    return rounded(out, 6)
+    return rounded(out)
 
 
 def e3_fit_address(spark: SparkSession, sf: str) -> DataFrame:

@@ -358,10 +358,10 @@ FROM txn""",
         "a1_split_summary": f"""WITH {TXN}, {tagged('txn')} SELECT split, count(*) AS n_rows, min(TransactionDT) AS dt_min,
   max(TransactionDT) AS dt_max, {r('avg(isFraud)', 'label_rate')},
   {r('100.0 * count(*) / (SELECT count(*) FROM txn)', 'pct_rows')} FROM tagged GROUP BY split""",
-        "a2_entity_mean_std": f"""WITH {TXN} SELECT addr1, count(*) AS n, {r('avg(TransactionAmt)', 'mean', 6)},
-  {r('coalesce(stddev_samp(TransactionAmt), 0)', 'std', 6)} FROM txn WHERE addr1 IS NOT NULL GROUP BY addr1""",
-        "a3_global_mean_std": f"""WITH {TRAIN} SELECT count(*) AS n, {r('avg(TransactionAmt)', 'mean', 6)},
-  {r('stddev_samp(TransactionAmt)', 'std', 6)} FROM train""",
+        "a2_entity_mean_std": f"""WITH {TXN} SELECT addr1, count(*) AS n, {r('avg(TransactionAmt)', 'mean')},
+  {r('coalesce(stddev_samp(TransactionAmt), 0)', 'std')} FROM txn WHERE addr1 IS NOT NULL GROUP BY addr1""",
+        "a3_global_mean_std": f"""WITH {TRAIN} SELECT count(*) AS n, {r('avg(TransactionAmt)', 'mean')},
+  {r('stddev_samp(TransactionAmt)', 'std')} FROM train""",
         "a4_entity_mode": f"WITH {TXN}, train AS (SELECT * FROM txn){ADDRESS_FIT} SELECT ac AS card1, m1 AS addr1_mode, m2 AS addr2_mode FROM addr",
         "a5_entity_distinct": f"""WITH {TXN} SELECT card1, count(DISTINCT addr1) AS addr1_n_unique,
   count(DISTINCT addr2) AS addr2_n_unique FROM txn GROUP BY card1""",
@@ -474,8 +474,8 @@ UNION ALL SELECT TransactionID, TransactionAmt, isFraud FROM txn WHERE isFraud =
         "f21_clip": scalar({"clipped": "greatest(5.0, least(50.0, TransactionAmt))"}),
         "e1_fit_amount": f"WITH {AMOUNT_FIT} "
         + " UNION ALL ".join(
-            f"SELECT '{e}' AS entity, CAST(ek_{e} AS VARCHAR) AS \"value\", n_{e} AS n, round(mean_{e}, 6) AS mean, "
-            f"round(std_{e}, 6) AS std FROM enc_{e}"
+            f"SELECT '{e}' AS entity, CAST(ek_{e} AS VARCHAR) AS \"value\", n_{e} AS n, round(mean_{e}, 9) AS mean, "
+            f"round(std_{e}, 9) AS std FROM enc_{e}"
             for e in ENTITIES
         ),
         "e2_spend_spike": spike(RATIOS + ZSCORES),

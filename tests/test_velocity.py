@@ -119,3 +119,16 @@ def test_missing_columns(five):
     assert len(compute_velocity_features(five.drop("addr1")).columns) == 5 + 18
     with pytest.raises(ValueError):
         compute_velocity_features(five, method="other")
+
+
+def test_auto_measures_each_entity_with_its_group(txn):
+    """The mail domain has large groups, the card small ones; only the former is cut."""
+    from riskframe.operators.velocity import _choose
+
+    tagged = txn.withColumn("side", F.col("TransactionID") % 2)
+    biggest = lambda e: tagged.groupBy("side", e).count().agg(F.max("count")).first()[0]
+    limit = biggest("card1")
+    assert limit < biggest("P_emaildomain")
+    got = _choose(tagged, None, ["card1", "P_emaildomain"], ["side"], "auto", limit)
+    assert got == {"card1": "prefix", "P_emaildomain": "chunked"}
+    assert _choose(tagged, tagged, ["card1"], ["side"], "auto", limit) == {"card1": "chunked"}
