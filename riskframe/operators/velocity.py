@@ -79,7 +79,7 @@ def compute_velocity_features(
     for entity in entities:
         keys = [*within, entity]
         if chosen[entity] == "chunked":
-            out = _chunked(out, past, keys, entity, windows, amount_scale)
+            out = _chunked(out, df, past, keys, entity, windows, amount_scale)
         else:
             out = _in_place(out, past, keys, entity, windows, amount_scale, chosen[entity] == "sliding")
         means = {}
@@ -165,10 +165,17 @@ def _in_place(
 
 
 def _chunked(
-    df: DataFrame, past: DataFrame | None, keys: list[str], entity: str, windows: Mapping[str, int], scale: int | None
+    df: DataFrame,
+    source: DataFrame,
+    past: DataFrame | None,
+    keys: list[str],
+    entity: str,
+    windows: Mapping[str, int],
+    scale: int | None,
 ) -> DataFrame:
+    """Joins the features to `df`. They are taken from `source`, the input before other entities were added."""
     needed = list(dict.fromkeys([*keys, TIME, AMOUNT]))
-    rows = df.select(*needed)
+    rows = source.select(*needed)
     if past is not None:
         rows = rows.unionByName(past.select(*needed))
     seconds = rows.groupBy(*keys, TIME).agg(F.count(AMOUNT).alias("__n"), F.sum(_amount(scale)).alias("__s"))

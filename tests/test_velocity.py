@@ -132,3 +132,8 @@ def test_auto_measures_each_entity_with_its_group(txn):
     got = _choose(tagged, None, ["card1", "P_emaildomain"], ["side"], "auto", limit)
     assert got == {"card1": "prefix", "P_emaildomain": "chunked"}
     assert _choose(tagged, tagged, ["card1"], ["side"], "auto", limit) == {"card1": "chunked"}
+
+
+def test_chunked_entities_do_not_recompute_each_other(txn):
+    plan = compute_velocity_features(txn, method="chunked")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 3
