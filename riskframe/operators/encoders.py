@@ -35,15 +35,12 @@ class AmountEncoders:
 
     def save(self, path: str) -> None:
         for entity, lookup in self.tables.items():
-            lookup.table.write.mode("overwrite").parquet(f"{path}/entity={entity}")
+            lookup.table.write.mode("overwrite").parquet(f"{path}/{entity}")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, entities: Sequence[str], mean: float, std: float) -> AmountEncoders:
-        tables = {}
-        for entity in entities:
-            table = spark.read.parquet(f"{path}/entity={entity}")
-            tables[entity] = Lookup(table, (entity,), table.count(), "n")
-        return cls(tables, mean, std)
+        stored = {e: spark.read.parquet(f"{path}/{e}") for e in entities}
+        return cls({e: Lookup(t, (e,), t.count(), "n") for e, t in stored.items()}, mean, std)
 
 
 def amount_statistics(train: DataFrame, entity_cols: Sequence[str]) -> DataFrame:

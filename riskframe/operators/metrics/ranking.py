@@ -180,7 +180,8 @@ def ks_statistic(scores: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame
     )
     side = W.partitionBy(*by)
     upto = side.orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)
-    gap = F.sum("p").over(upto) / F.sum("p").over(side) - F.sum("q").over(upto) / F.sum("q").over(side)
+    share = lambda c: _safe(F.sum(c).over(upto), F.sum(c).over(side))
+    gap = share("p") - share("q")
     # above 1 there is no grid point; those scores only count in the class sizes
     gaps = hist.select(*by, "i", F.abs(gap).alias("gap")).withColumn("gap", F.when(F.col("i") <= last, F.col("gap")))
     return gaps.groupBy(*by).agg(F.max("gap").alias("ks_statistic"))

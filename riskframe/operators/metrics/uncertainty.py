@@ -79,7 +79,7 @@ def _queues(scored: DataFrame, percentiles: Sequence[float], score: str, label:
                 F.lit(float(p)).alias("uncertainty_percentile"),
                 cuts[i].alias("hdi_width_threshold"),
                 size.alias("review_queue_size"),
-                (100.0 * size / F.col("total")).alias("review_queue_pct_all"),
+                (100.0 * size / F.greatest(F.col("total"), F.lit(1))).alias("review_queue_pct_all"),
                 caught.alias("fn_caught_in_queue"),
                 (100.0 * caught / F.greatest(F.col("n_fn"), F.lit(1))).alias("fn_recovery_pct"),
                 hits.alias("fraud_in_queue"),
@@ -208,7 +208,7 @@ def agreement_grid(scored: DataFrame, cells: int = 20, a: str = "score_a", b: st
 
 def width_histogram(scored: DataFrame, edges: int = WIDTH_EDGES, label: str = "y") -> DataFrame:
     """Equal-width histogram of the interval width over 0..max, density per class; the last bin is closed."""
-    step = scored.agg(F.max(WIDTH)).scalar() / (edges - 1)
+    step = F.nullif(scored.agg(F.max(WIDTH)).scalar() / (edges - 1), F.lit(0.0))  # no bins if all widths are 0
     index = F.least(F.floor(F.col(WIDTH) / step), F.lit(edges - 2)).cast("int")
     hist = scored.groupBy(label, index.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     in_class = F.sum("n").over(W.partitionBy(label))  # at most `edges` rows per class

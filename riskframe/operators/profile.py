@@ -111,7 +111,7 @@ def missingness_vs_label(
     return (
         rates.select(
             "column",
-            (100.0 * F.col("n_null") / F.col("n")).alias("null_pct"),
+            _ratio(100.0 * F.col("n_null"), F.col("n")).alias("null_pct"),
             if_null.alias("fraud_rate_if_null"),
             if_present.alias("fraud_rate_if_present"),
             (if_null - if_present).alias("delta"),
@@ -273,7 +273,7 @@ def rank_by(df: DataFrame, name: str, value: str, top_n: int = 50) -> DataFrame:
         name,
         value,
         F.row_number().over(W.orderBy(F.desc(value), name)).alias("rank"),
-        F.round(100.0 * F.col(value) / F.sum(value).over(W.partitionBy()), 2).alias("importance_pct"),
+        F.round(_ratio(100.0 * F.col(value), F.sum(value).over(W.partitionBy())), 2).alias("importance_pct"),
     )
 
 

@@ -140,3 +140,21 @@ def test_width_histogram_integrates_to_one(scored):
     step = scored.agg(F.max("hdi_width")).first()[0] / 59
     total = u.width_histogram(scored).groupBy("y").agg((F.sum("density") * step).alias("area")).collect()
     assert [r["area"] for r in total] == pytest.approx([1.0, 1.0])
+
+
+def test_one_class_or_no_rows_give_nulls_not_errors(spark):
+    row = report.metrics_matrix(scores(spark, [(0.4, 0), (0.2, 0)]), {"m": "s"}).first()
+    assert row["roc_auc"] is None and row["pr_auc"] is None and row["ks_statistic"] is None
+    assert row["brier_score"] == pytest.approx(0.1)
+    empty = review(spark).where("y > 1")
+    assert u.review_queues(empty)[0].first()["fn_miss_rate_pct"] is None
+    assert u.disagreement(empty).first()["n_disagreements"] in (None, 0)
+    flat = review(spark).withColumn("hdi_width", F.lit(0.0))
+    assert u.width_histogram(flat).agg(F.sum("n")).first()[0] == 5
+
+
+def test_shares_of_nothing_are_null(spark):
+    from riskframe.operators.profile import rank_by
+
+    df = spark.createDataFrame([("a", 0.0), ("b", 0.0)], "feature string, importance double")
+    assert [r["importance_pct"] for r in rank_by(df, "feature", "importance").collect()] == [None, None]
