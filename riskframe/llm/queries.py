@@ -8,16 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from riskframe.llm.bpe import op9_bpe
 from riskframe.llm.decontaminate import OP3_SQL, op3_decontamination
+from riskframe.llm.jaccard_join import OP5_SQL, op5_jaccard_join
 from riskframe.llm.token_counts import op8_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_decontamination": op3_decontamination,
+        "op5_jaccard_join": op5_jaccard_join,
         "op8_token_counts": op8_token_counts,
         "op9_bpe": op9_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL}
+    return {
+        "op3_decontamination": OP3_SQL,
+        "op5_jaccard_join": OP5_SQL,
+    }
