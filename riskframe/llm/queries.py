@@ -9,11 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from riskframe.llm.bpe import op9_bpe
 from riskframe.llm.decontaminate import OP3_SQL, op3_decontamination
 from riskframe.llm.jaccard_join import OP5_SQL, op5_jaccard_join
+from riskframe.llm.language import op2_language
+from riskframe.llm.quality import op1_quality
 from riskframe.llm.token_counts import op8_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": op1_quality,
+        "op2_language": op2_language,
         "op3_decontamination": op3_decontamination,
         "op5_jaccard_join": op5_jaccard_join,
         "op8_token_counts": op8_token_counts,
