@@ -10,6 +10,7 @@ from riskframe.llm.bpe import op9_bpe
 from riskframe.llm.decontaminate import OP3_SQL, op3_decontamination
 from riskframe.llm.jaccard_join import OP5_SQL, op5_jaccard_join
 from riskframe.llm.language import op2_language
+from riskframe.llm.pii import op10_pii
 from riskframe.llm.quality import op1_quality
 from riskframe.llm.token_counts import op8_token_counts
 
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_jaccard_join": op5_jaccard_join,
         "op8_token_counts": op8_token_counts,
         "op9_bpe": op9_bpe,
+        "op10_pii": op10_pii,
     }
 
 
