@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from riskframe.llm.bpe import op9_bpe
+from riskframe.llm.chat import OP4_SQL, op4_chat_collapse
 from riskframe.llm.decontaminate import OP3_SQL, op3_decontamination
+from riskframe.llm.fertility import op6_fertility
+from riskframe.llm.html_text import op7_html
 from riskframe.llm.jaccard_join import OP5_SQL, op5_jaccard_join
 from riskframe.llm.language import op2_language
 from riskframe.llm.pii import op10_pii
@@ -20,7 +23,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality": op1_quality,
         "op2_language": op2_language,
         "op3_decontamination": op3_decontamination,
+        "op4_chat_collapse": op4_chat_collapse,
         "op5_jaccard_join": op5_jaccard_join,
+        "op6_fertility": op6_fertility,
+        "op7_html": op7_html,
         "op8_token_counts": op8_token_counts,
         "op9_bpe": op9_bpe,
         "op10_pii": op10_pii,
@@ -30,5 +36,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_decontamination": OP3_SQL,
+        "op4_chat_collapse": OP4_SQL,
         "op5_jaccard_join": OP5_SQL,
     }
