@@ -148,12 +148,16 @@ def pairs_of(ours: DataFrame, theirs: DataFrame, threshold: int, across: bool) -
     return found.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
-def representatives(docs: DataFrame, classes: DataFrame, wanted: DataFrame, threshold: int) -> DataFrame:
-    """(node, text, o1, o2): one text of each wanted class, and its prefixes in the two hash orders."""
-    keys = classes.join(wanted, "node", "left_semi").select("node", F.col("rep.content").alias("content"), F.col("rep.doc_id").alias("rep_id"))
-    keys = materialize(keys)
-    if keys.count() <= SMALL_ROWS:
-        keys = F.broadcast(keys)
+def small(df: DataFrame) -> DataFrame:
+    """A stored table of short rows, broadcast if its counted size allows."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
+def representatives(docs: DataFrame, classes: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
+    """(node, text, o1, o2): one text of each class in the pairs, and its prefixes in the two hash orders."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    keys = classes.select("node", F.col("rep.content").alias("content"), F.col("rep.doc_id").alias("rep_id"))
+    keys = small(materialize(keys.join(wanted, "node", "left_semi")))
     rows = docs.withColumn("content", F.xxhash64("text"))
     found = rows.join(keys, (rows["content"] == keys["content"]) & rows["doc_id"].eqNullSafe(keys["rep_id"]))
     found = found.select("node", "text").dropDuplicates(["node"])
@@ -177,8 +181,11 @@ def representatives(docs: DataFrame, classes: DataFrame, wanted: DataFrame, thre
     return materialize(add_columns(found, "text", [("o1", order), ("o2", order)], start, SLICE_BYTES))
 
 
-def linked(pairs: DataFrame, reps: DataFrame, threshold: int) -> DataFrame:
+def linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
     """The pairs that pass the two hash orders and link in fact."""
+    if pairs.isEmpty():
+        return pairs
+    reps = representatives(docs, classes, pairs, threshold)
     a = reps.select(F.col("node").alias("a"), F.col("o1").alias("a1"), F.col("o2").alias("a2"))
     b = reps.select(F.col("node").alias("b"), F.col("o1").alias("b1"), F.col("o2").alias("b2"))
     meets = F.arrays_overlap("a1", "b1") & F.arrays_overlap("a2", "b2")
@@ -236,51 +243,56 @@ def link_classes(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame
     )
     classes = materialize(grouped.withColumn("node", F.monotonically_increasing_id()))
     rows = materialize(buckets(classes))
-    reps = representatives(docs, classes, rows.select("node").distinct(), threshold)
-
     tested = materialize(pairs_of(first_by_bucket(rows, FIRST_PIVOTS, 1), rows, threshold, across=False))
-    links = materialize(linked(tested, reps, threshold))
+    links = materialize(linked(docs, classes, tested, threshold))
     for pivots in (MORE_PIVOTS, None):
         left = materialize(outside(rows, components(links)))
         ours = left.where("out")
         ours = first_by_bucket(ours, pivots, 2) if pivots else ours
         pairs = pairs_of(ours.drop("out"), left.drop("out"), threshold, across=True)
         pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"))
-        links = materialize(links.unionByName(linked(pairs, reps, threshold)))
+        links = materialize(links.unionByName(linked(docs, classes, pairs, threshold)))
         tested = tested.unionByName(pairs)
     return profile, classes, components(links)
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every row."""
-    docs = narrow(docs, id_col, text_col)
+def grouped_rows(docs: DataFrame, threshold: int) -> DataFrame:
+    """doc_id, content, n and, for rows of components with several rows, comp and component_id."""
     profile, classes, comps = link_classes(docs, threshold)
     named = classes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     first = named.groupBy("comp").agg(F.min("smallest").alias("component_id"), F.sum("rows").alias("size"))
-    # only classes of several rows need a look-up; all other rows are their own component
-    told = named.join(first.where("size > 1"), "comp").select("n", "c1", "c2", "component_id")
-    out = profile.select("doc_id", "n", "c1", "c2").join(told, ["n", "c1", "c2"], "left")
+    # only classes of such components need a look-up; all other rows are their own component
+    told = named.join(first.where("size > 1"), "comp").select("n", "c1", "c2", "comp", "component_id")
+    return profile.select("doc_id", "content", "n", "c1", "c2").join(told, ["n", "c1", "c2"], "left").drop("c1", "c2")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every row."""
+    out = grouped_rows(narrow(docs, id_col, text_col), threshold)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """`docs` with one row of each group of near duplicates: the one with the smallest id.
 
-    Rows whose doc_id is NULL or shared stay apart by their content: of equal ids in one group the row with the
-    smallest content hash stays, and of rows equal in both, one.
+    In a group, ids come before NULL; of rows with equal id the one with the smallest content hash stays, and of rows
+    equal in both, one.
     """
     columns = docs.columns
-    keyed = docs.withColumns({"__id": F.col(f"`{id_col}`"), "__content": F.xxhash64(F.col(f"`{text_col}`")), "__row": F.monotonically_increasing_id()})
-    keyed = materialize(keyed)
-    groups = row_components(keyed.select(F.col("__row").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), threshold)
-    ids = keyed.select("__row", "__id", "__content").join(groups.withColumnRenamed("doc_id", "__row"), "__row")
-    stays = ids.groupBy("component_id").agg(F.min_by("__row", F.struct(F.col("__id").isNull(), "__id", "__content", "__row")).alias("__row"))
-    return keyed.join(stays.select("__row"), "__row", "left_semi").select(columns)
-
-
-def row_components(rows: DataFrame, threshold: int) -> DataFrame:
-    """As near_groups, for rows numbered by doc_id."""
-    return near_groups(rows, "doc_id", "text", threshold).select("doc_id", "component_id")
+    members = materialize(grouped_rows(narrow(docs, id_col, text_col), threshold).where("comp IS NOT NULL"))
+    key = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "content")
+    first = members.groupBy("comp").agg(F.min(key).alias("first"))
+    told = members.join(first, "comp").withColumn("stays", key == F.col("first"))
+    gone = small(materialize(told.where("not stays").select(F.col("doc_id").alias("__i"), F.col("content").alias("__c")).distinct()))
+    twice = materialize(told.where("stays").groupBy(F.col("doc_id").alias("__i"), F.col("content").alias("__c")).count().where("count > 1"))
+    rows = docs.withColumns({"__id": F.col(f"`{id_col}`"), "__content": F.xxhash64(F.col(f"`{text_col}`"))})
+    same = F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__content") == F.col("__c"))
+    kept = rows.join(gone, same, "left_anti")
+    if not twice.isEmpty():
+        twice = small(twice)
+        one = kept.join(twice, same, "left_semi").dropDuplicates(["__id", "__content"])
+        kept = kept.join(twice, same, "left_anti").unionByName(one)
+    return kept.select([F.col(f"`{c}`") for c in columns])
 
 
 def op5_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
