@@ -1,6 +1,6 @@
 """Quality classifier: a factorisation machine over hashed words, structure statistics and metadata.
 
-A text's features are the hash bins of its distinct words (weighted so that each text's words have length 1), one
+A text's features are the hash bins of its distinct words (weighted so that each text's words together have one fixed length), one
 bin for each structure statistic (how long, how repetitive, how many signs, capitals, digits, lines ...) and one for
 the metadata column n_chars. The score is the logistic of
 
@@ -39,7 +39,10 @@ WORD_BITS = 13
 RANK = 8
 FIT_ROWS = 16_000
 FIT_ROUNDS = 120
-STEP = 0.05
+STEP = 0.02
+PENALTY = 0.01
+#: Length of a text's word part: below 1, so that the few statistics are learned before the many words.
+WORD_WEIGHT = 0.3
 CUT = 0.3
 #: Bins of each statistic.
 LEVELS = 16
@@ -125,7 +128,7 @@ def features(texts: list[bytes], n_chars: np.ndarray, bits: int = WORD_BITS) ->
     value = np.ones(len(index))
     place = begins[of] + np.arange(len(of)) - np.concatenate([[0], np.cumsum(distinct)])[of]
     index[place] = bin_
-    value[place] = 1 / np.sqrt(distinct[of])
+    value[place] = WORD_WEIGHT / np.sqrt(distinct[of])
     index[(begins + distinct)[:, None] + np.arange(count)] = fixed
     return Features(index, value, np.concatenate([[0], ends]))
 
@@ -208,7 +211,7 @@ def fit(
     vector = F.udf(lambda index, value: SparseVector(size, sorted(zip(index, value))), VectorUDT())
     training = add_columns(rows, "text", lists, start, drop=("text", "chars"))
     training = training.select("label", vector("index", "value").alias("features")).repartition(spark.sparkContext.defaultParallelism)
-    model = FMClassifier(factorSize=rank, maxIter=rounds, stepSize=STEP, regParam=1e-4, initStd=0.02, solver="adamW", seed=seed).fit(training)
+    model = FMClassifier(factorSize=rank, maxIter=rounds, stepSize=STEP, regParam=PENALTY, initStd=0.02, solver="adamW", seed=seed).fit(training)
     return Machine(float(model.intercept), model.linear.toArray(), model.factors.toArray(), bits)
 
 
