@@ -12,6 +12,7 @@ from riskframe.operators.coding import Scaler
 from riskframe.operators.metrics.ranking import average_precision, ranked_long
 from riskframe.operators.ordering import SINGLE_TASK_ROWS
 from riskframe.schema import ID, LABEL
+from riskframe.session import materialize
 
 
 def linear_contributions(
@@ -35,13 +36,14 @@ def linear_contributions(
 
 
 def permuted_columns(
-    df: DataFrame, columns: Sequence[str], id_col: str = ID, seed: int = 42, group_rows: int = SINGLE_TASK_ROWS
+    df: DataFrame, columns: Sequence[str], id_col: str = ID, seed: int = 42, group_rows: int = SINGLE_TASK_ROWS, groups: int | None = None
 ) -> DataFrame:
     """Adds `perm_<c>`: each column moved by one place in a random order of the rows.
 
-    Rows are first dealt at random into groups of a bounded expected size, so no task holds the table.
+    Rows are first dealt at random into groups of a bounded expected size, so no task holds the table. The number of
+    groups is part of the permutation: give `groups` to keep it while the table grows.
     """
-    groups = max(1, -(-df.count() // group_rows))
+    groups = max(1, groups or -(-df.count() // group_rows))
     key = lambda salt: F.xxhash64(F.col(id_col), F.lit(seed), F.lit(salt))
     dealt = df.withColumn("__group", F.pmod(key(0), F.lit(groups)))
     order = W.partitionBy("__group").orderBy(key(1), id_col)
@@ -60,13 +62,14 @@ def permutation_importance(
     label: str = LABEL,
     id_col: str = ID,
     seed: int = 42,
+    groups: int | None = None,
 ) -> DataFrame:
     """(feature, pr_auc, drop): loss of PR-AUC when one column is permuted.
 
     `score` maps rows to a DataFrame with the label and `score`. All rescored copies are ranked together.
     """
     base = "__base"
-    shuffled = permuted_columns(df, columns, id_col, seed)
+    shuffled = materialize(permuted_columns(df, columns, id_col, seed, groups=groups))
     tagged = lambda rows, name: score(rows).select(
         F.lit(name).alias("model"), F.col("score"), F.col(label).cast("long").alias("y")
     )

@@ -100,9 +100,16 @@ def compute_identity_features(
     address_encoders: AddressEncoders | None = None,
     entity_col: str = ADDRESS_ENTITY,
     addr_cols: Sequence[str] = ADDRESS_COLS,
+    narrow: bool = False,
 ) -> DataFrame:
-    """Mail, address-consistency and identity-presence features."""
+    """Mail, address-consistency and identity-presence features; `narrow` stores numbers in 32 bits at most."""
     if address_encoders is None:
         address_encoders = fit_address_encoders(df, entity_col, addr_cols)
     out = compute_address_features(compute_email_features(df), address_encoders, entity_col, addr_cols)
-    return compute_identity_presence_features(out)
+    out = compute_identity_presence_features(out)
+    if not narrow:
+        return out
+    smaller = {"bigint": "int", "double": "float"}
+    made = [c for c in out.columns if c not in df.columns]
+    types = dict(out.dtypes)
+    return out.withColumns({c: F.col(c).cast(smaller[types[c]]) for c in made if types[c] in smaller})

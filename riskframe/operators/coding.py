@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from riskframe.operators.joins import Lookup, lookup_join
 from riskframe.operators.ordering import SINGLE_TASK_ROWS, dense_codes, exact_quantiles
-from riskframe.schema import ID, LABEL, TIME
+from riskframe.schema import ID, LABEL, TIME, nan_to_null
 
 # Columns that are never model inputs, and the class name of a missing string.
 EXCLUDED_COLS = ["TransactionID", "isFraud", "TransactionDT"]
@@ -139,7 +139,7 @@ class Scaler:
         return cls(tuple(features), means, tuple(by_name[f]["scale"] for f in features))
 
     def columns(self) -> list[Column]:
-        zero = lambda f: F.coalesce(F.col(f).cast("double"), F.lit(0.0))
+        zero = lambda f: F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(0.0)), F.lit(0.0))
         return [((zero(f) - m) / s).alias(f) for f, m, s in zip(self.features, self.means, self.scales)]
 
     def transform(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -150,7 +150,7 @@ def scaler_statistics(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """(feature, mean, scale) from one aggregation."""
     aggs = []
     for i, f in enumerate(features):
-        v = F.coalesce(F.col(f).cast("double"), F.lit(0.0))
+        v = F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(0.0)), F.lit(0.0))
         aggs += [F.avg(v).alias(f"m{i}"), F.stddev_pop(v).alias(f"s{i}")]
     scale = lambda i: F.when(F.col(f"s{i}") > 0, F.col(f"s{i}")).otherwise(F.lit(1.0))
     items = [
@@ -161,14 +161,20 @@ def scaler_statistics(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def median_table(df: DataFrame, columns: Sequence[str]) -> Mapping[str, float]:
-    """Exact median of each column; one aggregation while the rows are few, else one selection per column."""
+    """Exact median of each column, NULL and NaN left out."""
+    df = nan_to_null(df.select(*columns))
     if df.count() <= SINGLE_TASK_ROWS:
         row = df.agg(*[F.median(F.col(c)).alias(c) for c in columns]).first()
         return {c: row[c] for c in columns}
-    return {c: exact_quantiles(df, c, [0.5]).first()["q"][0] for c in columns}
+    # one long table of (column, value), so that the number of jobs does not grow with the columns
+    pairs = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]
+    long = df.select(F.inline(F.array(*pairs))).where("value IS NOT NULL")
+    found = {r["column"]: r["q"][0] for r in exact_quantiles(long, "value", [0.5], by=["column"]).collect()}
+    return {c: found.get(c) for c in columns}
 
 
 def impute_median(df: DataFrame, columns: Sequence[str], medians: Mapping[str, float] | None = None) -> DataFrame:
     """Fill NULLs of numeric columns with the median of the column."""
     values = medians if medians is not None else median_table(df, columns)
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(values[c])) for c in columns})
+    filled = nan_to_null(df, columns)
+    return filled.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(values[c]).cast("double")) for c in columns})

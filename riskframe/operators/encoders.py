@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from riskframe.functions import columns as C
 from riskframe.operators.joins import Lookup, lookup_join
-from riskframe.schema import AMOUNT, present, require
+from riskframe.schema import AMOUNT, nan_to_null, present, require
 from riskframe.session import materialize
 
 # Default encoder columns.
@@ -77,6 +77,7 @@ def entity_statistics(stats: DataFrame, entity: str) -> DataFrame:
 def fit_amount_encoders(train: DataFrame, entity_cols: Sequence[str] = AMOUNT_ENTITIES) -> AmountEncoders:
     require(train, [AMOUNT], "fit_amount_encoders")
     entities = present(train, entity_cols, "fit_amount_encoders")
+    train = nan_to_null(train.select(AMOUNT, *entities))
     if entities:
         stats = materialize(amount_statistics(train.select(AMOUNT, *entities), entities))
         sizes = {r["level"]: r["count"] for r in stats.groupBy("level").count().collect()}  # one row per entity

@@ -14,6 +14,8 @@ from riskframe.session import materialize
 BROADCAST_ROWS = 500_000
 HOT_SHARE = 1_000  # a key is hot when it holds more than 1/1000 of the rows: at most 1000 such keys exist
 SALTS = 64
+BROADCAST_BYTES = 64 << 20
+VALUE_BYTES = 16  # of a value whose width is not measured
 
 
 def merge_tables(transactions: DataFrame, identity: DataFrame, on: str = ID) -> DataFrame:
@@ -41,11 +43,18 @@ class Lookup:
     keys: tuple[str, ...]
     rows: int
     weight: str | None = None
+    text_bytes: int = 0  # measured total of its text columns
+
+    def fits(self, limit: int) -> bool:
+        """Whether it may be broadcast: few rows, and few bytes."""
+        return self.rows <= limit and self.rows * len(self.table.columns) * VALUE_BYTES + self.text_bytes <= BROADCAST_BYTES
 
     @classmethod
     def build(cls, table: DataFrame, keys: Sequence[str], weight: str | None = None) -> Lookup:
         stored = materialize(table)
-        return cls(stored, tuple(keys), stored.count(), weight)
+        texts = [F.coalesce(F.sum(F.octet_length(f.name)), F.lit(0)) for f in stored.schema.fields if f.dataType.typeName() == "string"]
+        rows, *sizes = stored.agg(F.count(F.lit(1)), *texts).first()
+        return cls(stored, tuple(keys), rows, weight, sum(sizes))
 
     def select(self, *columns: str | Column) -> Lookup:
         return replace(self, table=self.table.select(*columns))
@@ -57,7 +66,7 @@ def lookup_join(
     """Left-join `values` (output name -> expression over the lookup) to `df` by the lookup's keys.
 
     A counted-small lookup is broadcast. A larger one is shuffled; rows of hot and NULL keys are spread over
-    `SALTS` tasks by a hash of `spread_by`, and only the lookup rows of hot keys are repeated to match.
+    `SALTS` tasks by a hash of `spread_by` (of all columns where that one is absent), and only the lookup rows of hot keys are repeated to match.
     """
     keys = list(lookup.keys)
     right_names = [f"__r_{k}" for k in keys]
@@ -68,7 +77,7 @@ def lookup_join(
     )
     on = [F.col(k) == F.col(r) for k, r in zip(keys, right_names)]
     limit = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
-    if lookup.rows <= limit:
+    if lookup.fits(limit):
         return df.join(F.broadcast(right), on, "left").drop(*right_names, "__w")
     if not lookup.weight or len(keys) != 1:
         return df.join(right, on, "left").drop(*right_names, "__w")
@@ -79,7 +88,8 @@ def lookup_join(
     hot_keys = flagged.where("__hot").select(F.col(right_key).alias("__h"))
     salts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     salted = flagged.withColumn("__s_r", F.explode(salts)).drop("__hot", "__w")
-    spread = F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")
+    told_by = [spread_by] if spread_by in df.columns else [f.name for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    spread = F.pmod(F.xxhash64(*told_by), F.lit(SALTS)).cast("int")
     left = df.join(F.broadcast(hot_keys), F.col(key) == F.col("__h"), "left").withColumn(
         "__s_l", F.when(F.col("__h").isNotNull() | F.col(key).isNull(), spread).otherwise(F.lit(0))
     )

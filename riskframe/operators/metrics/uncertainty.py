@@ -199,8 +199,8 @@ def disagreement(
 
 
 def agreement_grid(scored: DataFrame, cells: int = 20, a: str = "score_a", b: str = "score_b") -> DataFrame:
-    """Two-dimensional histogram of both scores with the mean interval width per cell."""
-    cell = lambda c: F.floor(F.col(c) * cells).cast("int")
+    """Two-dimensional histogram of both scores with the mean interval width per cell; the last cell is closed."""
+    cell = lambda c: F.least(F.floor(F.col(c) * cells), F.lit(cells - 1)).cast("int")
     return scored.groupBy(cell(a).alias("cell_a"), cell(b).alias("cell_b")).agg(
         F.count(F.lit(1)).alias("n"), F.avg(WIDTH).alias("mean_width")
     )

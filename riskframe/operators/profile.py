@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from riskframe.functions import columns as C
 from riskframe.operators.ordering import exact_quantiles
-from riskframe.schema import AMOUNT, CORE_TYPES, LABEL, TIME, identity_columns, vendor_columns
+from riskframe.schema import AMOUNT, CORE_TYPES, LABEL, TIME, identity_columns, nan_to_null, vendor_columns
 
 # Profiling defaults.
 TIME_BINS = 500
@@ -19,7 +19,6 @@ HIST_EDGES = 80
 HIST_LOW = 0.5
 BOX_CLIP = 2_000.0
 NULL_PCT_FLOOR = 5.0
-NULL_COLUMN_CAP = 40
 
 
 def _ratio(top: Column, bottom: Column) -> Column:
@@ -43,6 +42,7 @@ def class_balance(df: DataFrame, label: str = LABEL) -> DataFrame:
 def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, null_pct) for all columns, from a single aggregation of the table."""
     names = list(columns or df.columns)
+    df = nan_to_null(df, names)
     shares = df.agg(*[(F.avg(F.col(c).isNull().cast("double")) * 100.0).alias(f"p{i}") for i, c in enumerate(names)])
     pairs = [F.struct(F.lit(c).alias("column"), F.col(f"p{i}").alias("null_pct")) for i, c in enumerate(names)]
     return shares.select(F.inline(F.array(*pairs)))
@@ -92,9 +92,13 @@ def family_null_profile(df: DataFrame, families: Mapping[str, Sequence[str]] | N
 
 
 def missingness_vs_label(
-    df: DataFrame, label: str = LABEL, min_null_pct: float = NULL_PCT_FLOOR, cap: int = NULL_COLUMN_CAP
+    df: DataFrame, label: str = LABEL, min_null_pct: float = NULL_PCT_FLOOR
 ) -> DataFrame:
-    """Label rate of rows where a column is missing against rows where it is present, one scan for all columns."""
+    """Label rate of rows where a column is missing against rows where it is present, one scan for all columns.
+
+    All columns above the floor are returned; `top_n` takes a head of them.
+    """
+    df = nan_to_null(df)
     names = [c for c in df.columns if c != label]
     y = F.col(label).cast("long")
     aggs = [F.count(F.lit(1)).alias("n"), F.sum(y).alias("y")]
@@ -117,9 +121,7 @@ def missingness_vs_label(
             (if_null - if_present).alias("delta"),
         )
         .where(F.col("null_pct") > min_null_pct)
-        .orderBy(F.desc("null_pct"), "column")
-        .limit(cap)
-        .orderBy(F.desc("delta"))
+        .orderBy(F.desc("delta"), "column")
     )
 
 
@@ -266,14 +268,16 @@ def dataset_summary(df: DataFrame, label: str = LABEL) -> DataFrame:
     return one.select(F.inline(F.array(*pairs)))
 
 
-def rank_by(df: DataFrame, name: str, value: str, top_n: int = 50) -> DataFrame:
-    """The `top_n` rows by `value`, with rank and share (%) of the total of those rows."""
-    top = df.select(name, value).orderBy(F.desc(value), name).limit(top_n)
+def rank_by(df: DataFrame, name: str, value: str, top_n: int | None = None) -> DataFrame:
+    """Rows by falling `value`, with rank and share (%) of the total of all rows; `top_n` keeps the head only."""
+    top = df.select(name, value, df.agg(F.sum(value)).scalar().alias("__total"))
+    if top_n is not None:
+        top = top.orderBy(F.desc(value), name).limit(top_n)
     return top.select(
         name,
         value,
         F.row_number().over(W.orderBy(F.desc(value), name)).alias("rank"),
-        F.round(_ratio(100.0 * F.col(value), F.sum(value).over(W.partitionBy())), 2).alias("importance_pct"),
+        F.round(_ratio(100.0 * F.col(value), F.col("__total")), 2).alias("importance_pct"),
     )
 
 

@@ -10,7 +10,9 @@ Three exact methods:
            joined back on (entity, second).
 
 `auto` measures the largest entity with one narrow aggregation and picks prefix or chunked per entity.
-NULL entities form one group, as any other value. Rows of the same second do not see each other.
+NULL entities form one group, as any other value. Rows of the same second do not see each other. Rows without a time
+see nothing and are seen by nothing; amounts that are NaN or infinite count as missing. All methods give the same
+values: amounts are summed as decimals of `AMOUNT_DIGITS` places, never as doubles.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ ENTITY_COLS = ["card1", "addr1", "P_emaildomain"]
 VELOCITY_WINDOWS = {"1h": 3_600, "24h": 86_400, "7d": 604_800}
 
 HOT_ENTITY_ROWS = 2_000_000
+AMOUNT_DIGITS = 6
 METHODS = ("auto", "prefix", "sliding", "chunked")
 
 
@@ -54,13 +57,15 @@ def compute_velocity_features(
 
     history       earlier rows that may be seen but are not returned
     within        extra grouping columns, e.g. `split`, that history must not cross
-    amount_scale  number of decimals the amounts have; sums are then taken over integers, which makes them
-                  exact and independent of row order
+    amount_scale  number of decimals the amounts have; sums are then taken over 64-bit integers, which is faster
+                  than the decimals of the default and as exact if no amount has more places
     join_on       a unique id: features are then computed from the few columns they need and joined back
                   once, so a table of hundreds of columns is shuffled once instead of once per entity
     narrow        32-bit outputs
     """
     require(df, [TIME, AMOUNT], "velocity")
+    made_before = set(expected_feature_names(entity_cols, windows))
+    df = df.drop(*[c for c in df.columns if c in made_before])
     if method not in METHODS:
         raise ValueError(f"unknown method '{method}', choose one of {METHODS}")
     entities = present(df, entity_cols, "velocity")
@@ -115,10 +120,12 @@ def _choose(
 
 
 def _amount(scale: int | None) -> Column:
-    """Amounts as summed: doubles, or whole units of the last decimal."""
+    """Amounts as summed: decimals, or whole units of the last decimal; NULL for what is no finite number."""
+    value = F.col(AMOUNT).cast("double")
     if scale is None:
-        return F.col(AMOUNT).cast("double")
-    return F.round(F.col(AMOUNT).cast("double") * (10**scale)).cast("long")
+        return value.try_cast(f"decimal(28,{AMOUNT_DIGITS})")
+    finite = F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
+    return F.round(finite * (10**scale)).cast("long")
 
 
 def _stats(
@@ -137,7 +144,9 @@ def _stats(
         old = ordered.rangeBetween(W.unboundedPreceding, -width - 1)
         count = counted(now) - counted(old)
         total = summed.over(now) - F.coalesce(summed.over(old), F.lit(0))
-    total = F.when(count > 0, total).otherwise(F.lit(0))
+    timed = F.col(TIME).isNotNull()
+    total = F.when(timed & (count > 0), total).otherwise(F.lit(0))
+    count = F.when(timed, count).otherwise(F.lit(0))
     return count, (total.cast("double") if scale is None else total / float(10**scale))
 
 
@@ -176,9 +185,10 @@ def _chunked(
     """Joins the features to `df`. They are taken from `source`, the input before other entities were added."""
     needed = list(dict.fromkeys([*keys, TIME, AMOUNT]))
     rows = source.select(*needed)
+    df = df.drop(*[f"vel_{entity}_{label}_{stat}" for label in windows for stat in ("count", "sum")])
     if past is not None:
         rows = rows.unionByName(past.select(*needed))
-    seconds = rows.groupBy(*keys, TIME).agg(F.count(AMOUNT).alias("__n"), F.sum(_amount(scale)).alias("__s"))
+    seconds = rows.where(F.col(TIME).isNotNull()).groupBy(*keys, TIME).agg(F.count(AMOUNT).alias("__n"), F.sum(_amount(scale)).alias("__s"))
     chunk = max(windows.values())
     placed = seconds.withColumn("__late", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(
         "__chunk", F.floor(F.col(TIME) / chunk) + F.col("__late")
@@ -194,4 +204,5 @@ def _chunked(
         .select(*[F.col(c).alias(f"__r_{c}") for c in [*keys, TIME]], *names)
     )
     matches = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys] + [F.col(TIME) == F.col(f"__r_{TIME}")]
-    return df.join(features, matches, "left").drop(*[f"__r_{c}" for c in [*keys, TIME]])
+    joined = df.join(features, matches, "left").drop(*[f"__r_{c}" for c in [*keys, TIME]])
+    return joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in names})

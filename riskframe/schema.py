@@ -6,6 +6,7 @@ import logging
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 logger = logging.getLogger(__name__)
@@ -38,7 +39,8 @@ CORE_TYPES: dict[str, T.DataType] = {
     "DeviceInfo": T.StringType(),
 }
 IDENTITY_PREFIXES = ("id_", "DeviceType", "DeviceInfo")
-NUMERIC_ID_COLUMNS = 11  # id_01 .. id_11 hold numbers, later id columns hold text
+# Numbers of the id columns that hold numbers; the others hold text.
+NUMERIC_ID_COLUMNS = frozenset([*range(1, 12), 13, 14, *range(17, 23), 24, 25, 26, 32])
 
 
 def column_type(name: str) -> T.DataType:
@@ -46,7 +48,7 @@ def column_type(name: str) -> T.DataType:
     if name in CORE_TYPES:
         return CORE_TYPES[name]
     if name.startswith("id_") and name[3:].isdigit():
-        return T.DoubleType() if int(name[3:]) <= NUMERIC_ID_COLUMNS else T.StringType()
+        return T.DoubleType() if int(name[3:]) in NUMERIC_ID_COLUMNS else T.StringType()
     if name[:1] in ("V", "C", "D") and name[1:].isdigit():
         return T.DoubleType()
     return T.StringType()
@@ -61,6 +63,17 @@ def vendor_columns(columns: Iterable[str]) -> list[str]:
     return [c for c in columns if c[:1] == "V" and c[1:].isdigit()]
 
 
+def nan_to_null(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
+    """NaN of float columns counts as missing everywhere: it becomes NULL. Other columns stay as they are."""
+    chosen = None if columns is None else set(columns)
+    floats = [
+        f.name
+        for f in df.schema.fields
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) and (chosen is None or f.name in chosen)
+    ]
+    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floats}) if floats else df
+
+
 def require(df: DataFrame, columns: Sequence[str], owner: str) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskframe.operators.joins import merge_tables
@@ -14,6 +15,7 @@ from riskframe.schema import column_type
 from riskframe.sources.narrowing import narrow_schema
 
 FORMATS = ("parquet", "csv")
+WHOLE = T.DecimalType(38, 6)  # how whole numbers are read from text
 
 
 def _read(
@@ -34,13 +36,26 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, infer: bool = False) -> DataFrame:
-    """CSV with a header. Types come from the declared schema, by column name, without a pass over the data."""
+    """CSV with a header. Types come from the declared schema, by column name, without a pass over the data.
+
+    Whole numbers may be written with decimals, as in `315.0`. A field that does not fit its type, or a whole number
+    with a fraction, fails the read instead of becoming NULL.
+    """
     if infer:
         return _read(spark, path, "csv", header=True, inferSchema=True)
     if schema is None:
         names = _read(spark, path, "csv", header=True).columns
         schema = T.StructType([T.StructField(n, column_type(n)) for n in names])
-    return _read(spark, path, "csv", schema, header=True)
+    whole = {f.name: f.dataType for f in schema.fields if isinstance(f.dataType, (T.LongType, T.IntegerType))}
+    written = T.StructType([T.StructField(f.name, WHOLE if f.name in whole else f.dataType) for f in schema.fields])
+    rows = _read(spark, path, "csv", written, header=True, mode="FAILFAST")
+
+    def number(name: str) -> Column:
+        value = F.col(name)
+        wrong = F.raise_error(F.concat(F.lit(f"{name} is no whole number: "), value.cast("string")))
+        return F.when(value.isNull() | (value % 1 == 0), value.cast(whole[name])).otherwise(wrong.cast(whole[name]))
+
+    return rows.withColumns({name: number(name) for name in whole}) if whole else rows
 
 
 def load_transactions(spark: SparkSession, path: str, infer: bool = False) -> DataFrame:

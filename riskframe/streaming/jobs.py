@@ -3,7 +3,8 @@
 Row-wise features and encoder lookups need no state: `FeaturePipeline` with velocity switched off takes a
 stream as it is. Velocity keeps its history as a Parquet table next to the output, not as operator state:
 each micro-batch is computed by the batch operator over the last window of history, so hot entities are
-cut into chunks here too.
+cut into chunks here too. The history is partitioned by day; days that no row within the allowed lateness can see any
+more are deleted, so its size is bounded by the longest window and the lateness.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from riskframe.functions.columns import DAY
 from riskframe.operators.velocity import ENTITY_COLS, VELOCITY_WINDOWS, compute_velocity_features
 from riskframe.plans.features import FeaturePipeline, PipelineConfig
 from riskframe.schema import AMOUNT, LABEL, TIME
-from riskframe.sources.tables import read_parquet
 
 
 def read_table_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
@@ -50,17 +50,44 @@ def write_stream(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery
     )
 
 
+def _folder(spark: SparkSession, path: str):
+    """The file system of a path and the path, so that any store Spark writes to can be listed."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
+
+
+def history_days(spark: SparkSession, history: str, batch_id: int) -> list[int]:
+    """Days that earlier batches left in a history table; bounded by the longest window and the lateness."""
+    fs, path = _folder(spark, history)
+    if not fs.exists(path):
+        return []
+    names = lambda p: [s.getPath().getName() for s in fs.listStatus(p)]
+    days = [n for n in names(path) if n.startswith("day=")]
+    earlier = lambda day: any(
+        int(b.removeprefix("batch=")) < batch_id for b in names(_folder(spark, f"{history}/{day}")[1]) if b.startswith("batch=")
+    )
+    return sorted(int(d.removeprefix("day=")) for d in days if earlier(d))
+
+
+def drop_days(spark: SparkSession, history: str, days: Sequence[int]) -> None:
+    for day in days:
+        fs, path = _folder(spark, f"{history}/day={day}")
+        fs.delete(path, True)
+
+
 def velocity_batch(
     out: str,
     history: str,
     entity_cols: Sequence[str] = ENTITY_COLS,
     windows: Mapping[str, int] = VELOCITY_WINDOWS,
+    lateness: int = DAY,
     **options,
 ) -> Callable[[DataFrame, int], None]:
     """`foreachBatch` function. Both tables are partitioned by batch, so a replayed batch overwrites itself.
 
     A row sees all earlier rows that arrived in its own or an earlier batch; rows already written are not
-    amended by later arrivals.
+    amended by later arrivals. A row later than `lateness` seconds behind the newest time seen is written too, but
+    sees only the history that is left.
     """
     longest = max(windows.values())
     needed = list(dict.fromkeys([TIME, AMOUNT, *entity_cols]))
@@ -70,17 +97,21 @@ def velocity_batch(
         rows = batch.persist()
         first = rows.agg(F.min(TIME).alias("t")).first()["t"]
         if first is not None:
-            try:
-                past = read_parquet(spark, history)
-                since = first - longest
-                past = past.where((F.col("batch") < batch_id) & (F.col("day") >= since // DAY) & (F.col(TIME) >= since))
-                past = past.select(*needed)
-            except FileNotFoundError:
-                past = None
+            days = history_days(spark, history, batch_id)
+            since = first - longest
+            wanted = [d for d in days if d >= since // DAY]
+            past = None
+            if wanted:
+                past = spark.read.option("basePath", history).parquet(*[f"{history}/day={d}" for d in wanted])
+                past = past.where((F.col("batch") < batch_id) & (F.col(TIME) >= since)).select(*needed)
             features = compute_velocity_features(rows, entity_cols, windows, history=past, **options)
             features.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-            seen = rows.select(*needed).withColumn("day", F.floor(F.col(TIME) / DAY).cast("long"))
-            seen.write.mode("overwrite").partitionBy("day").parquet(f"{history}/batch={batch_id}")
+            # only earlier batches move the limit, so that a replay of this one finds what it found before
+            oldest = (max(days) * DAY - lateness - longest) // DAY if days else first // DAY
+            seen = rows.select(*needed).where(F.col(TIME).isNotNull())
+            seen = seen.withColumns({"day": F.floor(F.col(TIME) / DAY).cast("long"), "batch": F.lit(batch_id)}).where(F.col("day") >= oldest)
+            seen.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(history)
+            drop_days(spark, history, [d for d in days if d < oldest])
         rows.unpersist()
 
     return run

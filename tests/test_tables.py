@@ -139,7 +139,7 @@ def test_time_buckets_are_right_closed(spark):
 def test_ranking_shares(spark):
     df = spark.createDataFrame([("a", 1.0), ("b", 3.0), ("c", 0.5)], "feature string, importance double")
     got = [(r["feature"], r["rank"], r["importance_pct"]) for r in profile.rank_by(df, "feature", "importance", 2).collect()]
-    assert got == [("b", 1, 75.0), ("a", 2, 25.0)]
+    assert got == [("b", 1, 66.67), ("a", 2, 22.22)]
 
 
 def test_families(spark):
