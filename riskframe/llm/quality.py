@@ -37,9 +37,9 @@ from riskframe.llm.language import held_out
 
 WORD_BITS = 13
 RANK = 8
-FIT_ROWS = 16_000
-FIT_ROUNDS = 120
-STEP = 0.02
+FIT_ROWS = 12_000
+FIT_ROUNDS = 60
+STEP = 0.03
 PENALTY = 0.01
 #: Length of a text's word part: below 1, so that the few statistics are learned before the many words.
 WORD_WEIGHT = 0.3

@@ -39,13 +39,14 @@ def test_features_do_not_depend_on_the_slice():
 
 
 def test_quality_held_out_accuracy(spark):
-    found = quality.op1_quality(spark, SF)
-    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    large = "/root/testdata/sf0.1"  # a few hundred labels are too few to fit thousands of words
+    found = quality.op1_quality(spark, large)
+    labels = spark.read.parquet(f"{large}/labels.parquet")
     rows = found.join(labels, "doc_id").where("held_out").select("quality", "predicted", "score").collect()
     assert len(rows) > 50
-    assert sum(r["quality"] == r["predicted"] for r in rows) / len(rows) > 0.93
+    assert sum(r["quality"] == r["predicted"] for r in rows) / len(rows) > 0.98
     assert all(0 <= r["score"] <= 1 for r in rows)
-    assert found.count() == 1000
+    assert found.count() == 10_000
 
 
 def test_quality_edges(spark):
