@@ -188,7 +188,7 @@ def _chunked(
     df = df.drop(*[f"vel_{entity}_{label}_{stat}" for label in windows for stat in ("count", "sum")])
     if past is not None:
         rows = rows.unionByName(past.select(*needed))
-    seconds = rows.where(F.col(TIME).isNotNull()).groupBy(*keys, TIME).agg(F.count(AMOUNT).alias("__n"), F.sum(_amount(scale)).alias("__s"))
+    seconds = rows.where(F.col(TIME).isNotNull()).groupBy(*keys, TIME).agg(F.count(_amount(scale)).alias("__n"), F.sum(_amount(scale)).alias("__s"))
     chunk = max(windows.values())
     placed = seconds.withColumn("__late", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(
         "__chunk", F.floor(F.col(TIME) / chunk) + F.col("__late")

@@ -5,7 +5,7 @@ Float results are rounded to `DIGITS` decimals here, never in the operators them
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -528,11 +528,14 @@ def v1_pr_auc_documents(spark: SparkSession, sf: str) -> DataFrame:
 # --- models ------------------------------------------------------------------------------------------
 
 
-def model_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """All rows with `split` and the row-wise and encoder features, written once for the several fits."""
+def model_rows(spark: SparkSession, sf: str, columns: Sequence[str]) -> DataFrame:
+    """Id, label, `split` and the named features of all rows, written once for the several fits."""
     rows = tagged(spark, sf)
-    plan = FeaturePipeline(PipelineConfig(run_velocity=False)).fit(rows.where("split = 'train'"))
-    return materialize(plan.transform(joins.merge_tables(rows, fx.identity(spark, sf))))
+    wants_velocity = any(c.startswith("vel_") for c in columns)
+    config = PipelineConfig(run_velocity=wants_velocity, amount_scale=CENTS, velocity_join_on="TransactionID")
+    plan = FeaturePipeline(config).fit(rows.where("split = 'train'"))
+    made = plan.transform(joins.merge_tables(rows, fx.identity(spark, sf)))
+    return materialize(made.select(*dict.fromkeys(["TransactionID", "isFraud", "split", *columns])))
 
 
 def part(rows: DataFrame, name: str) -> DataFrame:
@@ -545,7 +548,7 @@ TREE_INPUTS = ["TransactionAmt", "ProductCD", "amt_zscore_card1", "hour_of_day",
 
 
 def tree_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return model_rows(spark, sf).select("TransactionID", "isFraud", "split", *TREE_INPUTS)
+    return model_rows(spark, sf, TREE_INPUTS)
 
 
 def fitted_trees(rows: DataFrame) -> trees.TreeScorer:
@@ -573,7 +576,7 @@ def m5_feature_importance(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(fitted_trees(tree_rows(spark, sf)).get_feature_importance(spark))
 
 
-BAYES_INPUTS = ["log1p_amt", "hour_of_day", "is_night", "email_tld_match", "has_identity", "amt_zscore_card1"]
+BAYES_INPUTS = list(bayes.BAYESIAN_FEATURES)
 
 
 def fitted_bayes(rows: DataFrame) -> bayes.BayesLogit:
@@ -582,7 +585,7 @@ def fitted_bayes(rows: DataFrame) -> bayes.BayesLogit:
 
 
 def m7_posterior_fit(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(fitted_bayes(model_rows(spark, sf)).get_coefficient_summary(spark), 6)
+    return rounded(fitted_bayes(model_rows(spark, sf, BAYES_INPUTS)).get_coefficient_summary(spark), 6)
 
 
 STEP_AT = (-3.0, 0.5, -0.2)  # a point of the parameter space
@@ -612,7 +615,7 @@ def m8_posterior_predictive(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def m8_posterior_scores(spark: SparkSession, sf: str) -> DataFrame:
-    rows = model_rows(spark, sf)
+    rows = model_rows(spark, sf, BAYES_INPUTS)
     return rounded(fitted_bayes(rows).predict(rows), 6)
 
 
@@ -678,7 +681,7 @@ def m13_persistence_check(spark: SparkSession, sf: str) -> DataFrame:
 
 def m13_persistence(spark: SparkSession, sf: str) -> DataFrame:
     """Both models saved and loaded; scores of the loaded models next to those of the originals."""
-    rows = model_rows(spark, sf)
+    rows = model_rows(spark, sf, [*TREE_INPUTS, *BAYES_INPUTS])
     folder = new_folder(spark, "models")
     scorer = fitted_trees(rows.select("TransactionID", "isFraud", "split", *TREE_INPUTS))
     scorer.save(spark, f"{folder}/trees")
@@ -694,7 +697,7 @@ def m13_persistence(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def v19_full_evaluation(spark: SparkSession, sf: str) -> DataFrame:
-    rows = model_rows(spark, sf)
+    rows = model_rows(spark, sf, [*TREE_INPUTS, *BAYES_INPUTS])
     scorer = fitted_trees(rows.select("TransactionID", "isFraud", "split", *TREE_INPUTS))
     scored = score_both(part(rows, "test"), scorer, fitted_bayes(rows))
     path = f"{new_folder(spark, 'evaluation')}/report"

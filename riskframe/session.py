@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import logging
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+logger = logging.getLogger(__name__)
+
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "riskframe") -> SparkSession:
     """Session for tests and the bench. A cluster passes its own session instead."""
@@ -34,6 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="riskframe-")
+    elif configured.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+        logger.warning("spark.checkpoint.dir is %s: every machine must see the same folder there", configured)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(configured)
     return configured
@@ -44,12 +51,32 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/riskframe-{name}-{uuid.uuid4().hex}"
 
 
+_tables: list[str] = []  # folders that materialize() has written and nobody has dropped
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Owner of the tables that materialize() writes inside: they are deleted at the end.
+
+    Use it around work whose result has been written elsewhere, since a lazy DataFrame may still read them.
+    """
+    before = len(_tables)
+    try:
+        yield
+    finally:
+        for path in _tables[before:]:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        del _tables[before:]
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write `df` once as a table in the shared folder and read it from there.
 
     Lineage ends at the table, so a lost executor costs a re-read and never a recomputation. Being Parquet,
-    later passes read only the columns they use.
+    later passes read only the columns they use. The table stays until the `scratch` around it ends.
     """
     path = new_folder(df.sparkSession, "table")
     df.write.parquet(path)
+    _tables.append(path)
     return df.sparkSession.read.parquet(path)

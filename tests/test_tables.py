@@ -4,7 +4,7 @@ import pytest
 from conftest import SF, rows, same
 from pyspark.sql import functions as F
 
-from riskframe import fixtures
+from riskframe import fixtures, session
 from riskframe.operators import coding, joins, profile, sampling
 from riskframe.operators.split import time_aware_split
 from riskframe.sources import narrowing, sinks, tables
@@ -149,3 +149,47 @@ def test_families(spark):
         "Core": (0.0, 1), "D features": (0.0, 1), "V features (1-100)": (100.0, 1),
         "V features (101-200)": (100.0, 1), "Identity": (100.0, 1),
     }
+
+
+def test_scratch_drops_its_tables(spark):
+    with session.scratch(spark):
+        kept = session.materialize(spark.range(3))
+        assert kept.count() == 3
+        path = session._tables[-1]
+    assert path not in session._tables
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+
+
+def test_more_than_forty_columns_with_gaps(spark):
+    columns = {f"V{k}": F.when(F.col("id") % 2 == 0, 1.0) for k in range(60)}
+    df = spark.range(20).withColumns(columns).withColumn("isFraud", (F.col("id") % 3 == 0).cast("int"))
+    assert profile.missingness_vs_label(df).count() == 60
+
+
+def test_malformed_and_decimal_csv_fields(spark, tmp_path):
+    good, bad, broken = (str(tmp_path / n) for n in ("good", "bad", "broken"))
+    head = "TransactionID,card2,addr1,ProductCD"
+    for path, line in ((bad, "1,315.5,,x"), (broken, "1,abc,,x")):
+        spark.createDataFrame([(head,), (line,)], "v string").coalesce(1).write.text(path)
+    spark.createDataFrame([(head,), ("1,315.0,,x",), ("2,,404.0,y",)], "v string").coalesce(1).write.mode("overwrite").text(good)
+    got = {tuple(r) for r in tables.read_csv(spark, good).collect()}
+    assert got == {(1, 315, None, "x"), (2, None, 404, "y")}
+    for path in (bad, broken):
+        with pytest.raises(Exception):
+            tables.read_csv(spark, path).collect()
+
+
+def test_nan_counts_as_missing(spark):
+    df = spark.createDataFrame([(1, float("nan")), (2, 4.0), (3, None), (4, 6.0)], "id long, x double")
+    shares = {r["column"]: r["null_pct"] for r in profile.null_profile(df).collect()}
+    assert shares == {"id": 0.0, "x": 50.0}
+    assert [r["x"] for r in coding.impute_median(df, ["x"]).orderBy("id").collect()] == [5.0, 4.0, 5.0, 6.0]
+
+
+def test_lookup_without_an_id_column_above_the_bound(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), (None, 3.0), ("b", 4.0)], "k string, v double")
+    lookup = joins.Lookup.build(df.where("k IS NOT NULL").groupBy("k").agg(F.count("*").alias("n"), F.avg("v").alias("m")), ["k"], "n")
+    small = joins.lookup_join(df, lookup, {"m": F.col("m")})
+    large = joins.lookup_join(df, lookup, {"m": F.col("m")}, broadcast_rows=0)
+    assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))

@@ -137,3 +137,19 @@ def test_auto_measures_each_entity_with_its_group(txn):
 def test_chunked_entities_do_not_recompute_each_other(txn):
     plan = compute_velocity_features(txn, method="chunked")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join LeftOuter") == 3
+
+
+def test_all_methods_agree_on_odd_amounts_and_times(spark):
+    rows = [(1, 0, 1e15, "a"), (2, 10, 5.03, "a"), (3, 20, float("nan"), "a"), (4, 4000, 1.07, "a"), (5, None, 5.0, "a"), (6, 4010, 2.125, "a"),
+            (7, None, 7.0, "a"), (8, 4020, float("inf"), None), (9, 4030, 1.001, None), (10, 4040, 0.002, None)]
+    df = spark.createDataFrame(rows, "TransactionID long, TransactionDT long, TransactionAmt double, card1 string")
+    names = ["TransactionID", *expected_feature_names(["card1"])]
+    made = {m: compute_velocity_features(df, ["card1"], method=m).select(*names) for m in ("sliding", "prefix", "chunked")}
+    wanted = sorted(map(str, made["sliding"].collect()))
+    assert sorted(map(str, made["prefix"].collect())) == wanted
+    assert sorted(map(str, made["chunked"].collect())) == wanted
+    by_id = {r["TransactionID"]: r for r in made["prefix"].collect()}
+    assert by_id[6]["vel_card1_1h_sum"] == 1.07 and by_id[6]["vel_card1_1h_count"] == 1
+    assert by_id[5]["vel_card1_7d_count"] == 0 and by_id[10]["vel_card1_1h_sum"] == 1.001
+    twice = compute_velocity_features(compute_velocity_features(df, ["card1"]), ["card1"])
+    assert sorted(map(str, twice.select(*names).collect())) == wanted
