@@ -11,8 +11,8 @@ the tokens are put in. Candidates have to pass that filter under three orders:
 Survivors are verified on their whole texts. Work on groups of copies stays linear:
 
 - Equal sets are one class, found by a 128-bit fingerprint with map-side aggregation; only classes are joined.
-- Links inside a known component need no search. First the few first classes of each token's bucket are compared with
-  all others of it, components are built, and only pairs across components are looked at after that: first for a few
+- Links inside a known component need no search. First a few classes of each token's bucket, those nearest to the
+  middle of a group of copies, are compared with all others of it, components are built, and only pairs across components are looked at after that: first for a few
   classes outside the bucket's largest component, then for all that is left. Every pair of classes is thus
   either verified, or ruled out by a filter, or already connected: the components are exact.
 - Buckets are proven short by the sketch, or counted with map-side aggregation and joined (a join that Spark can
@@ -42,7 +42,7 @@ SKETCH_BITS = 20
 SKETCH_BLOCK = 4096
 ORDERS = (11, 12)  # seeds of the hash orders
 BUCKET_ROWS = 4096
-FIRST_PIVOTS, MORE_PIVOTS = 4, 16
+FIRST_PIVOTS, MORE_PIVOTS = 2, 8
 SMALL_ROWS = 400_000  # rows of 24 bytes that may be broadcast: under 10 MB
 
 
@@ -216,9 +216,12 @@ def linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, threshold: int
     return checked.where("link").select("a", "b")
 
 
-def first_by_bucket(rows: DataFrame, n: int, seed: int) -> DataFrame:
-    """The first n classes of each bucket in an order that is the same in all buckets."""
-    order = Window.partitionBy("token").orderBy(F.xxhash64("node", F.lit(seed)), "node")
+def first_by_bucket(rows: DataFrame, n: int) -> DataFrame:
+    """The n classes of each bucket with the fewest tokens of their own before the shared one.
+
+    In a group of edited copies those are the texts nearest to the original: most of the others link to them.
+    """
+    order = Window.partitionBy("token").orderBy("pos", F.xxhash64("node"), "node")
     return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).drop("place")
 
 
@@ -243,17 +246,19 @@ def link_classes(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame
     )
     classes = materialize(grouped.withColumn("node", F.monotonically_increasing_id()))
     rows = materialize(buckets(classes))
-    tested = materialize(pairs_of(first_by_bucket(rows, FIRST_PIVOTS, 1), rows, threshold, across=False))
-    links = materialize(linked(docs, classes, tested, threshold))
+    tested = materialize(pairs_of(first_by_bucket(rows, FIRST_PIVOTS), rows, threshold, across=False))
+    comps = components(linked(docs, classes, tested, threshold))
     for pivots in (MORE_PIVOTS, None):
-        left = materialize(outside(rows, components(links)))
+        left = materialize(outside(rows, comps))
         ours = left.where("out")
-        ours = first_by_bucket(ours, pivots, 2) if pivots else ours
+        ours = first_by_bucket(ours, pivots) if pivots else ours
         pairs = pairs_of(ours.drop("out"), left.drop("out"), threshold, across=True)
         pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"))
-        links = materialize(links.unionByName(linked(docs, classes, pairs, threshold)))
+        # what is connected is known by one link per class to its component's first
+        known = comps.select(F.col("comp").alias("a"), F.col("node").alias("b"))
+        comps = components(known.unionByName(linked(docs, classes, pairs, threshold)))
         tested = tested.unionByName(pairs)
-    return profile, classes, components(links)
+    return profile, classes, comps
 
 
 def grouped_rows(docs: DataFrame, threshold: int) -> DataFrame:
