@@ -12,7 +12,7 @@ from riskframe.plans.evaluation import FraudEvaluator, score_both
 
 @pytest.fixture(scope="module")
 def data(spark):
-    return model_rows(spark, SF)
+    return model_rows(spark, SF, [*TREE_INPUTS, *BAYES_INPUTS])
 
 
 @pytest.fixture(scope="module")
