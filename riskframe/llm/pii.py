@@ -72,9 +72,10 @@ def _table() -> dict[int, str]:
 TABLE = _table()
 ODD = frozenset(map(chr, TABLE))
 _NAMES = "|".join(sorted(DIGIT_NAMES, key=len, reverse=True))
-#: A run of at least three digits, one of them spelled, with "plus" before it as a sign.
+#: A run of at least three digits, one of them spelled, with "plus" before it as a sign. One digit an item, so that there
+#: is one way to read a run and a failing one costs no more than its length.
 SPELLED = re.compile(
-    rf"(?<![^\W_])(?:plus[\s,.-]{{1,3}})?(?:(?:{_NAMES}|[0-9]+)(?:[\s,.-]{{1,3}}|(?=[0-9]))){{2,}}(?:{_NAMES}|[0-9]+)(?![^\W_])",
+    rf"(?<![^\W_])(?:plus[\s,.-]{{1,3}})?(?:(?:{_NAMES}|[0-9])(?:[\s,.-]{{1,3}}|(?=[0-9]))){{2,}}(?:{_NAMES}|[0-9])(?![^\W_])",
     re.IGNORECASE,
 )
 SPELLED_ITEM = re.compile(rf"plus|{_NAMES}|[0-9]", re.IGNORECASE)
@@ -96,11 +97,13 @@ DOT_SIGN = re.compile(rf"{_DOT}|{_BARE_DOT}", re.IGNORECASE)
 #: Last labels that an address without any bracket or sign must end with.
 LAST_LABELS = frozenset("com org net edu gov mil int info biz name dev app io ai co me tv us uk de fr es eu it nl at ch be pt pl se no fi dk ie ca au nz in br mx ar cl jp cn kr ru".split())
 AT_WORDS, DOT_WORDS = frozenset({"at", "arroba"}), frozenset({"dot", "punkt", "point", "punto"})
-WORDS = re.compile(r"[a-zà-ÿ]+")
+WORDS = re.compile(r"[^\W\d_]+")
 BRACKETED = re.compile(r"[\[({<]\s?(?:at|@|arroba|dot|punkt|point|punto|\.)\s?[\])}>]", re.IGNORECASE)
-SPELLED_PAIR = re.compile(rf"(?<![^\W_])(?:{_NAMES})[\s,.-]{{1,3}}(?:{_NAMES}|[0-9])", re.IGNORECASE)
 #: A bracketed dot makes an ip.
 IP_DISGUISED = re.compile(rf"[0-9]{{1,3}}(?:{_ANY_DOT}[0-9]{{1,3}}){{3}}", re.IGNORECASE)
+_PART = rf"(?:{_NAMES}|[0-9])(?:(?:[\s,-]{{1,2}}|(?=[0-9]))(?:{_NAMES}|[0-9])){{0,2}}"
+#: The parts of an ip may be spelled too, also those of one digit, where a spelled or bracketed dot stands between them.
+IP_SPELLED = re.compile(rf"(?<![^\W_]){_PART}(?:(?:{_DOT}|{_BARE_DOT}){_PART}){{3}}(?![^\W_])", re.IGNORECASE)
 
 Span = tuple[str, int, int]
 
@@ -174,20 +177,40 @@ def _characters(tape: Tape) -> None:
     tape.rewrite([(k, k + 1, TABLE[ord(c)]) for k, c in enumerate(tape.text) if c in ODD])
 
 
+def _folded(text: str) -> str:
+    """In small letters, with the letters that IGNORECASE takes for an i or s besides."""
+    if not text.isascii():
+        text = text.replace("İ", "i").replace("ı", "i").replace("ſ", "s")
+    return text.lower()
+
+
 def _digits(tape: Tape) -> None:
+    runs, parts = [m.span() for m in IP_SPELLED.finditer(tape.text)], []
+    for start, end in runs:
+        for dot in DOT_SIGN.finditer(tape.text, start, end):
+            parts.append((start, dot.start()))
+            start = dot.end()
+        parts.append((start, end))
+    k = 0
+    for start, end in (m.span() for m in SPELLED.finditer(tape.text)):
+        while k < len(runs) and runs[k][1] <= start:
+            k += 1
+        if k == len(runs) or end <= runs[k][0]:
+            parts.append((start, end))
     edits = []
-    for run in SPELLED.finditer(tape.text):
-        if not any(c.isalpha() for c in run[0]):
+    for start, end in sorted(parts):
+        if not any(c.isalpha() for c in tape.text[start:end]):
             continue
         last = None
-        for item in SPELLED_ITEM.finditer(tape.text, *run.span()):
+        for item in SPELLED_ITEM.finditer(tape.text, start, end):
             if last is not None and item.start() > last:
                 edits.append((last, item.start(), ""))
-            word = item[0].lower()
+            word = _folded(item[0])
             if len(word) > 1:
                 edits.append((*item.span(), "+" if word == "plus" else DIGIT_NAMES[word]))
             last = item.end()
-    tape.rewrite(edits)
+    if edits:
+        tape.rewrite(edits)
 
 
 def _addresses(tape: Tape) -> None:
@@ -206,17 +229,22 @@ def _addresses(tape: Tape) -> None:
     for e in edits:
         if not kept or e[0] >= kept[-1][1]:
             kept.append(e)
-    tape.rewrite(kept)
+    if kept:
+        tape.rewrite(kept)
 
 
 def hints(text: str) -> tuple[bool, bool]:
-    """Whether an address or digits may be disguised here; a cheap look that never misses one."""
-    words = set(WORDS.findall(text.lower()))
+    """Whether an address or digits may be disguised here; a cheap look that never misses one.
+
+    SPELLED and IP_SPELLED hold a digit name between signs or digits, so it is one of the words. Spelled digits may make
+    an address possible: look again when they are written.
+    """
+    words = set(WORDS.findall(_folded(text)))
     address = not words.isdisjoint(AT_WORDS) and not words.isdisjoint(DOT_WORDS)
     if not address:
         bare = not words.isdisjoint(DOT_WORDS) and any(map(text.__contains__, "0123456789@"))
         address = bare or (any(map(text.__contains__, "[({<")) and BRACKETED.search(text) is not None)
-    return address, not words.isdisjoint(DIGIT_NAMES) and SPELLED_PAIR.search(text) is not None
+    return address, not words.isdisjoint(DIGIT_NAMES)
 
 
 def added_spans(text: str) -> set[Span]:
@@ -230,9 +258,13 @@ def added_spans(text: str) -> set[Span]:
         _characters(tape)
         address, digits = hints(tape.text)
     if digits:
+        before = tape.text
         _digits(tape)
+        address = address or (tape.text is not before and hints(tape.text)[0])
     if address:
         _addresses(tape)
+    if tape.text is text:
+        return set()
     return {(kind, *tape.source(a, b)) for kind, a, b in base_spans(tape.text)}
 
 
