@@ -542,9 +542,8 @@ def part(rows: DataFrame, name: str) -> DataFrame:
     return rows.where(F.col("split") == name).drop("split")
 
 
-QUICK = trees.TrainerConfig(n_trials=2, n_estimators=8, max_depth_cap=5)
-QUICK_PARAMS = trees.TreeParams(max_depth=4, max_iter=8, scale_pos_weight=10.0)
-TREE_INPUTS = ["TransactionAmt", "ProductCD", "amt_zscore_card1", "hour_of_day", "email_tld_match", "r_email_tld"]
+TREES = trees.TrainerConfig()
+TREE_INPUTS = list(dict.fromkeys(["TransactionAmt", "ProductCD", *FEATURES]))
 
 
 def tree_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -552,9 +551,8 @@ def tree_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fitted_trees(rows: DataFrame) -> trees.TreeScorer:
-    scorer = trees.TreeScorer(QUICK)
-    scorer.train_final(part(rows, "train"), part(rows, "val"), params=QUICK_PARAMS)
-    return scorer
+    """The whole training: the search, then the fit of its best point."""
+    return trees.TreeScorer(TREES).fit(part(rows, "train"), part(rows, "val"))
 
 
 def m2_tree_fit(spark: SparkSession, sf: str) -> DataFrame:
@@ -564,7 +562,7 @@ def m2_tree_fit(spark: SparkSession, sf: str) -> DataFrame:
 
 def m3_random_search(spark: SparkSession, sf: str) -> DataFrame:
     rows = tree_rows(spark, sf)
-    return trees.TreeScorer(QUICK).tune(part(rows, "train"), part(rows, "val"))
+    return trees.TreeScorer(TREES).tune(part(rows, "train"), part(rows, "val"))
 
 
 def m4_tree_scores(spark: SparkSession, sf: str) -> DataFrame:
