@@ -4,13 +4,15 @@ A page is cut into blocks at block-level tags. The first pass classifies each bl
 density of stop-words, density of links, and the containers it stands in (a menu, footer, form, advert and the like is
 bad whatever it says). Blocks too short or too mixed to tell stay open. In the second pass open blocks inherit the
 label of the nearest decided neighbours in their region; the edges of an article count as good, those of the page as
-bad. If a page marks its article, only blocks inside are text; otherwise the whole body is one region.
+bad. If a page marks its article, only blocks inside are text; otherwise the whole body is one region. Stop-words decide
+only on pages whose text shows one of their languages; on others long blocks with few links are good.
 
 Nothing inside a good block is dropped; character references are decoded, white space becomes one space, blocks are
 joined by a line break in page order.
 
-Defined results: NULL, empty and text-less pages give an empty text; unclosed and stray tags are tolerated; repeated
-rows are extracted each. Extra columns pass through; one named like an output is replaced.
+Defined results: NULL, empty and text-less pages give an empty text; unclosed and stray tags are tolerated, so a skipped
+element without its end, or closed in itself, is its own tag alone (as in HTML, script and style reach to the end of the
+page); repeated rows are extracted each. Extra columns pass through; one named like an output is replaced.
 """
 
 from __future__ import annotations
@@ -38,7 +40,9 @@ STOP_WORDS = frozenset(
 )
 
 #: Elements by their part in a page.
-SKIPPED = "script style noscript template svg iframe object textarea select button math canvas audio video head title"
+SKIPPED = "script style noscript template svg iframe object textarea select button math canvas audio video title"
+#: What is in these is no markup: their first end tag counts, and a slash in their tag does not close them.
+RAW_TAGS = frozenset("script style textarea iframe title".split())
 BOILER_TAGS = frozenset("nav footer aside form dialog menu".split())
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -56,11 +60,14 @@ BOILER_WORDS = frozenset(
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 MARKUP = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({SKIPPED.replace(' ', '|')})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|(?=<body[\s>])|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<({SKIPPED.replace(' ', '|')})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>"
     r"|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*+)>|<[!?/][^>]*>",
     re.DOTALL | re.IGNORECASE,
 )
 ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
+BODY = re.compile(r"<body[\s>]", re.IGNORECASE)
+#: Fixed value: scripts that write in one character what Latin letters write in about three.
+WIDE = re.compile("[\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff]")
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -91,6 +98,24 @@ def marks(tag: str, attributes: str) -> tuple[bool, bool]:
     return boiler, article and not boiler
 
 
+def closings(html: str, tag: str) -> dict[int, int]:
+    """Where each skipped element `tag` ends, by the end of its opening tag; one pass over the page."""
+    found, open_ends = {}, []
+    for m in re.finditer(rf"<{tag}(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|</{tag}\s*>", html, re.IGNORECASE):
+        if m[0][1] != "/":
+            if tag in RAW_TAGS or m[0][-2] != "/":
+                open_ends.append(m.end())
+        elif open_ends:
+            if tag in RAW_TAGS:
+                found |= dict.fromkeys(open_ends, m.end())
+                open_ends.clear()
+            else:
+                found[open_ends.pop()] = m.end()
+    if tag in ("script", "style"):
+        found |= dict.fromkeys(open_ends, len(html))
+    return found
+
+
 def blocks_of(html: str) -> tuple[list[Block], bool]:
     """Blocks in page order, and whether any is inside an article (region above 0)."""
     out: list[Block] = []
@@ -115,14 +140,23 @@ def blocks_of(html: str) -> tuple[list[Block], bool]:
                 if links:
                     current.linked += len("".join(plain.split()))
 
-    at = 0
-    for m in MARKUP.finditer(html):
+    at, ends = 0, {}
+    first_body = BODY.search(html)
+    body = first_body.start() if first_body else -1
+    while m := MARKUP.search(html, at):
         add(html[at : m.start()])
         at = m.end()
         close, tag, attributes = (m[2], m[3], m[4]) if m[3] else (m[5], m[6], m[7])
         if tag is None:
             if m[1]:
                 current.pieces.append(" ")
+                name = m[1].lower()
+                if name not in ends:
+                    ends[name] = closings(html, name)
+                end = ends[name].get(at)
+                if body >= at and (end is None or body < end) and html[at - 2] != "/":
+                    end = body  # what is open before the body ends there
+                at = end or at
             continue
         tag = tag.lower()
         if tag == "a":
@@ -163,15 +197,39 @@ def blocks_of(html: str) -> tuple[list[Block], bool]:
     return found, any(b.region and not b.boiler for b in found)
 
 
-def first_pass(b: Block) -> str:
-    """good, bad, or open."""
+def links_rule(b: Block) -> bool:
+    return b.boiler or b.linked > LINK_SHARE * max(1, len(b.text) - b.text.count(" "))
+
+
+def stop_words(text: str) -> tuple[int, int]:
+    """Number of stop-words, and of words."""
+    words = LETTERS.findall(text.lower())
+    return sum(map(STOP_WORDS.__contains__, words)), len(words)
+
+
+def shows_language(blocks: list[Block]) -> bool:
+    """Whether the stop-words know the page's language: by one long block, or by its longer blocks together."""
+    stops = words = 0
+    for b in blocks:
+        if len(b.text) >= SHORT_CHARS and not links_rule(b):
+            found, n = stop_words(b.text)
+            if len(b.text) > LONG_CHARS and found >= STOP_HIGH * max(1, n):
+                return True
+            stops, words = stops + found, words + n
+    return words > 0 and stops >= STOP_LOW * words
+
+
+def first_pass(b: Block, known: bool = True) -> str:
+    """good, bad, or open; `known` tells whether stop-words are evidence here."""
     size = len(b.text)
-    if b.boiler or b.linked > LINK_SHARE * max(1, size - b.text.count(" ")):
+    if links_rule(b):
         return "bad"
+    if not known:
+        return "good" if size + 2 * len(WIDE.findall(b.text)) > LONG_CHARS else "open"
     if size < SHORT_CHARS:
         return "open"
-    words = LETTERS.findall(b.text.lower())
-    density = sum(map(STOP_WORDS.__contains__, words)) / max(1, len(words))
+    stops, words = stop_words(b.text)
+    density = stops / max(1, words)
     if density >= STOP_HIGH and size > LONG_CHARS or b.region and density >= STOP_LOW:
         return "good"
     if density < STOP_LOW and not b.region:
@@ -204,7 +262,8 @@ def main_text(html: str) -> str:
     blocks, marked = blocks_of(html)
     if marked:
         blocks = [b for b in blocks if b.region]
-    labels = [first_pass(b) for b in blocks]
+    known = shows_language(blocks)
+    labels = [first_pass(b, known) for b in blocks]
     good = second_pass(labels, blocks)
     if not marked and not any(good):
         # nothing is long enough to decide by: what is no boilerplate is the text
