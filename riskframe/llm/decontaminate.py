@@ -94,7 +94,7 @@ def item_blocks(items: DataFrame, item_col: str, text_col: str, block_bytes: int
     slim = items.select(
         F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("null")).alias("name"),
         F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"),
-    ).where("text != ''")
+    ).where("text != ''").distinct()  # copies of an item would all fall into one block
     total = slim.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-total // max(1, block_bytes // 2)))
     keyed = slim.withColumn("block", F.pmod(F.xxhash64("name", "text"), F.lit(n))) if n > 1 else slim.withColumn("block", F.lit(0))
