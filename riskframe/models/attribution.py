@@ -38,21 +38,26 @@ def linear_contributions(
 def permuted_columns(
     df: DataFrame, columns: Sequence[str], id_col: str = ID, seed: int = 42, group_rows: int = SINGLE_TASK_ROWS, groups: int | None = None
 ) -> DataFrame:
-    """Adds `perm_<c>`: each column moved by one place in a random order of the rows.
+    """Adds `perm_<c>`: each column moved by one place in a random order of the rows, the last row's to the first's.
 
-    Rows are first dealt at random into groups of a bounded expected size, so no task holds the table. The number of
-    groups is part of the permutation: give `groups` to keep it while the table grows.
+    The order is that of a hash of the id, whatever the number of rows. It is cut into groups of a bounded expected size,
+    so no task holds the table; the last row of a group takes the first of the next, so the groups leave no trace.
     """
     groups = max(1, groups or -(-df.count() // group_rows))
-    key = lambda salt: F.xxhash64(F.col(id_col), F.lit(seed), F.lit(salt))
-    dealt = df.withColumn("__group", F.pmod(key(0), F.lit(groups)))
-    order = W.partitionBy("__group").orderBy(key(1), id_col)
-    head = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    at = F.xxhash64(F.col(id_col), F.lit(seed), F.lit(1))
+    place = F.floor((at.cast("double") / 2.0**64 + 0.5) * groups)
+    dealt = df.withColumns({"__at": at, "__group": F.least(place, F.lit(groups - 1))})
+    values = F.struct(*[F.col(c).alias(f"v{k}") for k, c in enumerate(columns)])
+    heads = dealt.groupBy("__group").agg(F.min_by(values, F.struct("__at", id_col)).alias("head"))
+    by_group = W.orderBy("__group")
+    after = F.coalesce(F.lead("head").over(by_group), F.first("head").over(by_group.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    dealt = dealt.join(F.broadcast(heads.select("__group", after.alias("__after"))), "__group")
+    order = W.partitionBy("__group").orderBy("__at", id_col)
     at_end = F.lead(F.lit(1)).over(order).isNull()
-    moved = {
-        f"perm_{c}": F.when(at_end, F.first(c).over(head)).otherwise(F.lead(c).over(order)) for c in columns
-    }
-    return dealt.select("*", *[v.alias(k) for k, v in moved.items()]).drop("__group")
+    moved = [
+        F.when(at_end, F.col(f"__after.v{k}")).otherwise(F.lead(c).over(order)).alias(f"perm_{c}") for k, c in enumerate(columns)
+    ]
+    return dealt.select(*df.columns, *moved)
 
 
 def permutation_importance(
