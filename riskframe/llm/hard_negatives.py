@@ -43,7 +43,7 @@ EVERY = 100
 SAMPLE = 8192
 FAN_OUT = 12
 LEAF_ROWS = 1024  # rows that a leaf is planned for
-BLOCK_ROWS = 8192
+BLOCK_ROWS = 65_536
 ANCHOR_ROWS = 512
 PRODUCT_LIMIT = 1 << 45
 
@@ -70,6 +70,18 @@ def matrix(column: pa.Array, size: int) -> np.ndarray:
     return out
 
 
+def narrow_kind(largest: int) -> str:
+    """The shortest integers that hold the components."""
+    return next(k for k, bits in (("<i2", 15), ("<i4", 31), ("<i8", 63)) if largest < 1 << bits)
+
+
+def as_binary(v: np.ndarray, kind: str) -> pa.Array:
+    """Each row's components as bytes of short integers, which is what is shuffled."""
+    data = np.ascontiguousarray(v.astype(kind))
+    offsets = np.arange(len(v) + 1, dtype=np.int32) * np.int32(data.itemsize * data.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(v), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
 @dataclass
 class Node:
     """An inner node has split points and children; a leaf has its number."""
@@ -189,8 +201,8 @@ def best(scores: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return row[taken], at.ravel()[taken]
 
 
-def packed(rows: DataFrame, most: int, size: int) -> DataFrame:
-    """Blocks (leaf, chunk, n, uids, ids, labels, vectors) of at most `most` rows of a leaf's chunk; `v` becomes bytes.
+def packed(rows: DataFrame, most: int) -> DataFrame:
+    """Blocks (leaf, chunk, n, uids, ids, labels, vectors) of at most `most` rows of a leaf's chunk, as bytes.
 
     Rows of one (leaf, chunk) lie in one partition, sorted by id, and are read as a stream.
     """
@@ -206,7 +218,7 @@ def packed(rows: DataFrame, most: int, size: int) -> DataFrame:
                 held.clear()
                 columns = [[key[0]], [key[1]], [t.num_rows]]
                 columns += [[t.column(c).to_numpy().astype(np.int64).tobytes()] for c in ("uid", "vec_id", "label")]
-                columns += [[matrix(t.column("v").combine_chunks(), size).tobytes()]]
+                columns += [[b"".join(t.column("v").to_pylist())]]
                 columns += [[t.column(c).combine_chunks().flatten().to_numpy().tobytes()] for c in extra]  # lists of one length
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target)], schema=target)
 
@@ -239,6 +251,7 @@ class Index:
     sample: tuple[np.ndarray, np.ndarray, np.ndarray]  # uids, labels, vectors
     chunks: np.ndarray
     size: int
+    kind: str  # of the components in bytes
 
     def search(self, anchors: DataFrame, n: int, same: bool) -> DataFrame:
         """uid, anchor_id, slot, other_id, score: per anchor and window the best `n` rows of the (or another) label.
@@ -247,7 +260,7 @@ class Index:
         """
         spark = anchors.sparkSession
         shared = spark.sparkContext.broadcast((self.tree, self.sample, self.chunks))
-        size = self.size
+        size, kind = self.size, self.kind
 
         def route(batches):
             tree, (uids, labels, vectors), chunks = shared.value
@@ -261,21 +274,23 @@ class Index:
                     least = raised(v, column("uid").to_numpy(), column("label").to_numpy(), least, most, uids, labels, vectors, n, same)
                     limits = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * width), pa.array(least.ravel().astype(np.int64)))
                     part = part.set_column(part.schema.get_field_index("least"), "least", limits)
+                    part = part.set_column(part.schema.get_field_index("v"), "v", as_binary(v, kind))
                     for leaf, rows in tree.visit(v, least, most):
                         some = part.take(pa.array(rows))
                         for chunk in range(int(chunks[leaf])):
                             place = [pa.array(np.full(len(rows), x, np.int32)) for x in (leaf, chunk)]
                             yield pa.RecordBatch.from_arrays([*some.columns, *place], [*some.schema.names, "leaf", "chunk"])
 
-        visits = anchors.mapInArrow(route, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in anchors.schema) + ", leaf int, chunk int")
-        asked = packed(visits, ANCHOR_ROWS, size).select("leaf", "chunk", *(F.col(c).alias(f"q_{c}") for c in ("n", "uids", "ids", "labels", "vectors", "least", "most")))
+        named = "uid bigint, vec_id bigint, label bigint, v binary, least array<bigint>, most array<bigint>, leaf int, chunk int"
+        visits = anchors.select("uid", "vec_id", "label", "v", "least", "most").mapInArrow(route, named)
+        asked = packed(visits, ANCHOR_ROWS).select("leaf", "chunk", *(F.col(c).alias(f"q_{c}") for c in ("n", "uids", "ids", "labels", "vectors", "least", "most")))
         met = self.blocks.join(asked, ["leaf", "chunk"])
 
         def compare(batches):
             for batch in batches:
                 for k in range(batch.num_rows):
                     row = {name: batch.column(j)[k].as_py() for j, name in enumerate(batch.schema.names)}
-                    yield from compared(row, n, same, size)
+                    yield from compared(row, n, same, size, kind)
 
         found = met.mapInArrow(compare, "uid bigint, anchor_id bigint, slot int, other_uid bigint, other_id bigint, score bigint")
         order = Window.partitionBy("uid", "slot").orderBy(F.col("score").desc(), "other_id", "other_uid")
@@ -295,16 +310,17 @@ def raised(v, uid, label, least, most, uids, labels, vectors, n, same) -> np.nda
     return out
 
 
-def compared(row: dict, n: int, same: bool, size: int) -> Iterator[pa.RecordBatch]:
+def compared(row: dict, n: int, same: bool, size: int, kind: str) -> Iterator[pa.RecordBatch]:
     """The best rows of one block of rows for each of one block of anchors and each window."""
     whole = lambda c: np.frombuffer(row[c], np.int64)
     uids, ids, labels = whole("uids"), whole("ids"), whole("labels")
     q_uids, q_ids, q_labels = whole("q_uids"), whole("q_ids"), whole("q_labels")
-    v, q = np.frombuffer(row["vectors"]).reshape(-1, size), np.frombuffer(row["q_vectors"]).reshape(-1, size)
+    v, q = (np.frombuffer(row[c], kind).reshape(-1, size).astype(float) for c in ("vectors", "q_vectors"))
     least, most = whole("q_least").reshape(len(q), -1), whole("q_most").reshape(len(q), -1)
     none = np.iinfo(np.int64).min
-    for start in range(0, len(q), 128):
-        part = slice(start, start + 128)
+    step = max(1, (1 << 20) // len(v))
+    for start in range(0, len(q), step):
+        part = slice(start, start + step)
         scores = (q[part] @ v.T).astype(np.int64)
         fits = ((labels == q_labels[part, None]) == same) & (uids != q_uids[part, None])
         for slot in range(least.shape[1]):
@@ -331,7 +347,8 @@ def build(
     """Index of all rows. `label` is an expression over vec_id and label that replaces the label."""
     rows = materialize(integer_rows(vectors, id_col, label_col, vector_col, scale, label))
     norm = F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double"))
-    facts = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("size"), F.max(norm).alias("norm")).first()
+    largest = F.array_max(F.transform("v", lambda c: F.abs(c)))
+    facts = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("size"), F.max(norm).alias("norm"), F.max(largest).alias("largest")).first()
     size, radius2 = max(1, facts["size"] or 0), facts["norm"] or 0.0
     if radius2 > PRODUCT_LIMIT:
         raise ArithmeticError("inner products are too large for exact scores")
@@ -339,6 +356,7 @@ def build(
     v = matrix(drawn.column("v").combine_chunks(), size) if drawn.num_rows else np.zeros((0, size))
     sample = (drawn.column("uid").to_numpy(), drawn.column("label").to_numpy(), v)
     tree = Tree(v, radius2, min(sample_rows // 8, -(-facts["n"] // leaf_rows)), fan_out)
+    kind = narrow_kind(facts["largest"] or 0)
     shared = rows.sparkSession.sparkContext.broadcast(tree)
 
     def measure(batches):
@@ -372,13 +390,14 @@ def build(
     def settle(batches):
         tree = shared.value
         for batch in batches:
-            leaf = tree.place(matrix(batch.column(3), size))
+            v = matrix(batch.column(3), size)
+            leaf = tree.place(v)
             # the place in a hash order spreads equal vectors over the leaf's chunks
             chunk = (batch.column(0).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % chunks[leaf]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf), pa.array(chunk.astype(np.int32))], [*batch.schema.names, "leaf", "chunk"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], as_binary(v, kind), pa.array(leaf), pa.array(chunk.astype(np.int32))], [*batch.schema.names, "leaf", "chunk"])
 
-    placed = rows.mapInArrow(settle, "uid bigint, vec_id bigint, label bigint, v array<bigint>, leaf int, chunk int")
-    return Index(rows, materialize(packed(placed, block_rows, size)), tree, sample, chunks, size)
+    placed = rows.mapInArrow(settle, "uid bigint, vec_id bigint, label bigint, v binary, leaf int, chunk int")
+    return Index(rows, materialize(packed(placed, block_rows)), tree, sample, chunks, size, kind)
 
 
 def mine(
