@@ -6,18 +6,21 @@ Every function here sees one slice of a partition at a time, so a task holds a f
 
 from __future__ import annotations
 
+import gc
 import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 SLICE_BYTES = 1 << 20
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
 
 
 def vocabulary(name: str) -> str:
@@ -29,6 +32,42 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+_held: dict[tuple, object] = {}
+_asked: set[tuple] = set()
+
+
+def held(key: tuple, make: Callable[[], object]) -> object:
+    """An object that a worker process keeps between tasks, such as a vocabulary with its table of words.
+
+    It goes as soon as the worker runs a task of `add_columns` that does not ask for it.
+    """
+    _asked.add(key)
+    if key not in _held:
+        _held[key] = make()
+    return _held[key]
+
+
+def with_own_tables(start: Callable[[], Callable]) -> Callable:
+    """What `start` gives; then the tables that it has not asked for go."""
+    _asked.clear()
+    f = start()
+    gone = [_held.pop(k) for k in set(_held) - _asked]
+    if gone:
+        gone.clear()
+        gc.collect()
+    return f
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Batches to Python end at a few megabytes (or one row), where the session has not set a bound of its own.
+
+    Rows are texts here: at the default of 64 MB, batches take most of the memory that an executor has outside its heap.
+    """
+    now = str(spark.conf.get(_BATCH_SETTING)).lower().removesuffix("b")
+    if now in (str(_BATCH_DEFAULT), "64m"):
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
 def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch where the bytes of the text column pass a multiple of the limit."""
     if batch.num_rows == 0:
@@ -62,6 +101,7 @@ def add_columns(
     `start()` runs once per task and gives the function that maps a slice to one list or array per field.
     Columns of `df` with the name of a computed one (in any case) are replaced; those in `drop` go.
     """
+    bound_batches(df.sparkSession)
     taken = {n.lower() for n, _ in fields} | {d.lower() for d in drop}
     kept = [f for f in df.schema.fields if f.name.lower() not in taken]
     schema = T.StructType([*kept, *(T.StructField(n, t) for n, t in fields)])
@@ -70,7 +110,7 @@ def add_columns(
     kept_names = [f.name for f in kept]
 
     def run(batches):
-        f = start()
+        f = with_own_tables(start)
         for batch in batches:
             for part in slices(batch, text, limit):
                 made = [v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(f(part), types)]

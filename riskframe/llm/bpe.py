@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import unicodedata
 from collections import deque
 
 import numpy as np
@@ -29,8 +28,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
+from tokenizers import normalizers
 
-from riskframe.llm.arrow import SLICE_BYTES, add_columns, as_texts, narrow, vocabulary
+from riskframe.llm.arrow import SLICE_BYTES, add_columns, as_texts, held, narrow, vocabulary
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words in each of the two generations of the table: the newer one fills, then replaces the older.
@@ -62,6 +62,7 @@ class PrefixBpe:
         if [s["type"] for s in steps] != ["NFC", "Replace", "Lowercase"] or cut.get("type") != "Split" or not cut["invert"]:
             raise ValueError(f"{vocab}: this kind of normalisation or splitting is not known here")
         self.words = regex.compile(cut["pattern"]["Regex"])
+        self.compose = normalizers.NFC().normalize_str
         self.special = {t["content"]: t["id"] for t in described["added_tokens"]}
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.letters = byte_letters()
@@ -188,7 +189,9 @@ class PrefixBpe:
 
     def normal(self, text: str) -> str:
         # 'Σ' is lowered letter by letter here, not by its place in a word
-        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        # the library's own NFC: its Unicode version is older than Python's and differs in the order of some marks
+        composed = text if text.isascii() else self.compose(text)
+        return composed.replace("Σ", "σ").lower()
 
     def _entry(self, word: str) -> tuple[int, str, str]:
         entry = self.older.get(word)
@@ -221,14 +224,9 @@ class PrefixBpe:
         return " ".join(self.names[i] for i in ids if i in self.names)
 
 
-_coders: dict[str, PrefixBpe] = {}
-
-
 def coder(vocab: str) -> PrefixBpe:
     """One per worker process and vocabulary."""
-    if vocab not in _coders:
-        _coders[vocab] = PrefixBpe(vocab)
-    return _coders[vocab]
+    return held(("bpe", vocab), lambda: PrefixBpe(vocab))
 
 
 def sha(text: str) -> str:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskframe.llm.arrow import SLICE_BYTES, add_columns, as_texts, narrow, vocabulary
+from riskframe.llm.arrow import SLICE_BYTES, add_columns, as_texts, held, narrow, vocabulary
 from riskframe.llm.bpe import byte_letters
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -125,15 +125,9 @@ class Counter:
         return out
 
 
-_counters: dict[tuple, Counter] = {}
-
-
 def counter(*settings) -> Counter:
     """One per worker process and settings, so that its table serves all tasks."""
-    if settings not in _counters:
-        _counters.clear()
-        _counters[settings] = Counter(*settings)
-    return _counters[settings]
+    return held(("counts", *settings), lambda: Counter(*settings))
 
 
 def count_tokens(
