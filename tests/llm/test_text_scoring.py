@@ -122,9 +122,11 @@ def test_fertility_figures_are_those_of_the_library():
     model = fertility.Fertility()
     text = prose(3, 80) + " wörter 漢字"
     ids = [i for w in text.split(" ") for i in model.model.encode(w)]
-    n, chars, by, entropy = model.figures(text, 100)
+    n, chars, by, entropy, odd = model.figures(text, 100)
     share = np.array(list(collections.Counter(ids).values())) / len(ids)
-    assert (n, chars) == (len(ids), 100 / len(ids))
+    assert (n, chars) == (len(ids), 100 / len(ids)) and odd != odd
+    again = model.figures("wörter für schöne große Bäume und Züge", 30)[4]
+    assert again == pytest.approx(sum(map(len, "wörter für schöne große Bäume Züge".split())) / sum(len(model.model.encode(w)) for w in "wörter für schöne große Bäume Züge".split()))
     assert by == pytest.approx(sum(model.model.is_byte(i) for i in ids) / len(ids))
     assert entropy == pytest.approx(-(share * np.log2(share)).sum() / np.log2(len(ids)))
 
@@ -136,8 +138,20 @@ def test_bands_reject_encoded_data_and_keep_prose(spark):
     assert got[1]["kept"] and not got[1]["base_failed"]
     assert not got[2]["kept"] and not got[2]["base_failed"]
     assert got[3]["base_failed"] and not got[3]["kept"]
-    clean = fertility.op6_fertility(spark, SF).where("NOT base_failed").agg({"kept": "min"}).first()[0]
-    assert clean
+
+
+def test_bands_decide(spark):
+    """Random letters and most broken UTF-8 go, every clean text stays: on the documents themselves."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    clean = fertility.judge(docs).where("NOT base_failed")
+    assert clean.where("NOT kept").count() == 0 and clean.count() > 800
+    broken = [(r["doc_id"], r["text"].encode().decode("latin-1")) for r in clean.where("lang IN ('fr', 'es')").select("doc_id", "text").collect()]
+    kept = {r["doc_id"]: r["kept"] for r in fertility.judge(spark.createDataFrame(broken, "doc_id long, text string")).collect()}
+    assert len(kept) > 150 and sum(kept.values()) < 0.25 * len(kept)
+    rng = np.random.default_rng(2)
+    letters = [(k, " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 10))) for _ in range(150))) for k in range(50)]
+    rows = fertility.judge(spark.createDataFrame(letters, "doc_id long, text string")).collect()
+    assert not any(r["kept"] or r["base_failed"] for r in rows)
 
 
 def test_fertility_edges(spark):
