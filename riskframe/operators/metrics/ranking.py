@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from riskframe.operators.ordering import order_profile, running_totals
+from riskframe.operators.ordering import OrderProfile, order_profile, running_totals
 
 # Points of the KS grid and the floor of the F1 denominator.
 KS_GRID = 1_000
@@ -45,8 +45,17 @@ def ranked_scores(
 
 def ranked_long(long: DataFrame, single_task_rows: int | None = None) -> DataFrame:
     """`ranked_scores` of rows that are already (model, score, y)."""
-    profile = order_profile(long, "score", single_task_rows)
-    totals = running_totals(score_table(long), "score", ["p", "n"], ["model"], descending=True, profile=profile)
+    return _ranked(score_table(long), order_profile(long, "score", single_task_rows))
+
+
+def ranked_table(scores: DataFrame, single_task_rows: int | None = None) -> DataFrame:
+    """`ranked_scores` of rows (model, score, p, n) that may repeat a score."""
+    table = scores.groupBy("model", "score").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    return _ranked(table, order_profile(table, "score", single_task_rows))
+
+
+def _ranked(table: DataFrame, profile: OrderProfile) -> DataFrame:
+    totals = running_totals(table, "score", ["p", "n"], ["model"], descending=True, profile=profile)
     return totals.select(
         "model",
         "score",

@@ -546,32 +546,54 @@ TREES = trees.TrainerConfig()
 TREE_INPUTS = list(dict.fromkeys(["TransactionAmt", "ProductCD", *FEATURES]))
 
 
-def tree_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return model_rows(spark, sf, TREE_INPUTS)
+_trained: dict[tuple[str, str], str] = {}  # where the models of a session and table folder are stored
 
 
-def fitted_trees(rows: DataFrame) -> trees.TreeScorer:
-    """The whole training: the search, then the fit of its best point."""
-    return trees.TreeScorer(TREES).fit(part(rows, "train"), part(rows, "val"))
+def trained(spark: SparkSession, sf: str) -> str:
+    """Folder with the model inputs (`rows`), the trees and the posterior model of all tables of `sf`.
+
+    The whole training (the search, the fit of its best point, the posterior) runs once in a session; the model queries
+    read what it has stored.
+    """
+    key = spark.sparkContext.applicationId, sf
+    if key not in _trained:
+        folder = new_folder(spark, "models")
+        rows = model_rows(spark, sf, [*TREE_INPUTS, *BAYES_INPUTS])
+        rows.write.parquet(f"{folder}/rows")
+        rows = spark.read.parquet(f"{folder}/rows")
+        inputs = rows.select("TransactionID", "isFraud", "split", *TREE_INPUTS)
+        trees.TreeScorer(TREES).fit(part(inputs, "train"), part(inputs, "val")).save(spark, f"{folder}/trees")
+        fitted_bayes(rows).save(spark, f"{folder}/bayes")
+        _trained[key] = folder
+    return _trained[key]
+
+
+def trained_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{trained(spark, sf)}/rows")
+
+
+def trained_trees(spark: SparkSession, sf: str) -> trees.TreeScorer:
+    return trees.TreeScorer.load(spark, f"{trained(spark, sf)}/trees")
+
+
+def trained_bayes(spark: SparkSession, sf: str) -> bayes.BayesLogit:
+    return bayes.BayesLogit.load(spark, f"{trained(spark, sf)}/bayes")
 
 
 def m2_tree_fit(spark: SparkSession, sf: str) -> DataFrame:
-    rows = tree_rows(spark, sf)
-    return rounded(fitted_trees(rows).evaluate(part(rows, "test")))
+    return rounded(trained_trees(spark, sf).evaluate(part(trained_rows(spark, sf), "test")))
 
 
 def m3_random_search(spark: SparkSession, sf: str) -> DataFrame:
-    rows = tree_rows(spark, sf)
-    return trees.TreeScorer(TREES).tune(part(rows, "train"), part(rows, "val"))
+    return trained_trees(spark, sf).trials(spark)
 
 
 def m4_tree_scores(spark: SparkSession, sf: str) -> DataFrame:
-    rows = tree_rows(spark, sf)
-    return rounded(fitted_trees(rows).predict_proba(rows, keep=["TransactionID", "isFraud"]))
+    return rounded(trained_trees(spark, sf).predict_proba(trained_rows(spark, sf), keep=["TransactionID", "isFraud"]))
 
 
 def m5_feature_importance(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(fitted_trees(tree_rows(spark, sf)).get_feature_importance(spark))
+    return rounded(trained_trees(spark, sf).get_feature_importance(spark))
 
 
 BAYES_INPUTS = list(bayes.BAYESIAN_FEATURES)
@@ -583,7 +605,7 @@ def fitted_bayes(rows: DataFrame) -> bayes.BayesLogit:
 
 
 def m7_posterior_fit(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(fitted_bayes(model_rows(spark, sf, BAYES_INPUTS)).get_coefficient_summary(spark), 6)
+    return rounded(trained_bayes(spark, sf).get_coefficient_summary(spark), 6)
 
 
 STEP_AT = (-3.0, 0.5, -0.2)  # a point of the parameter space
@@ -613,8 +635,7 @@ def m8_posterior_predictive(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def m8_posterior_scores(spark: SparkSession, sf: str) -> DataFrame:
-    rows = model_rows(spark, sf, BAYES_INPUTS)
-    return rounded(fitted_bayes(rows).predict(rows), 6)
+    return rounded(trained_bayes(spark, sf).predict(trained_rows(spark, sf)), 6)
 
 
 def m9_coefficient_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -637,10 +658,8 @@ def m10_linear_attribution(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def m11_permutation_importance(spark: SparkSession, sf: str) -> DataFrame:
-    rows = tree_rows(spark, sf)
-    scorer = fitted_trees(rows)
-    score = lambda df: scorer.predict_proba(df, keep=["isFraud"])
-    return rounded(attribution.permutation_importance(part(rows, "test"), TREE_INPUTS, score))
+    scorer = trained_trees(spark, sf)
+    return rounded(attribution.forest_importance(part(trained_rows(spark, sf), "test"), scorer))
 
 
 def m12_pca(spark: SparkSession, sf: str) -> DataFrame:
@@ -679,13 +698,11 @@ def m13_persistence_check(spark: SparkSession, sf: str) -> DataFrame:
 
 def m13_persistence(spark: SparkSession, sf: str) -> DataFrame:
     """Both models saved and loaded; scores of the loaded models next to those of the originals."""
-    rows = model_rows(spark, sf, [*TREE_INPUTS, *BAYES_INPUTS])
     folder = new_folder(spark, "models")
-    scorer = fitted_trees(rows.select("TransactionID", "isFraud", "split", *TREE_INPUTS))
+    scorer, logit = trained_trees(spark, sf), trained_bayes(spark, sf)
     scorer.save(spark, f"{folder}/trees")
-    logit = fitted_bayes(rows)
     logit.save(spark, f"{folder}/bayes")
-    tests = part(rows, "test")
+    tests = part(trained_rows(spark, sf), "test")
     before = score_both(tests, scorer, logit)
     after = score_both(
         tests, trees.TreeScorer.load(spark, f"{folder}/trees"), bayes.BayesLogit.load(spark, f"{folder}/bayes")
@@ -695,9 +712,7 @@ def m13_persistence(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def v19_full_evaluation(spark: SparkSession, sf: str) -> DataFrame:
-    rows = model_rows(spark, sf, [*TREE_INPUTS, *BAYES_INPUTS])
-    scorer = fitted_trees(rows.select("TransactionID", "isFraud", "split", *TREE_INPUTS))
-    scored = score_both(part(rows, "test"), scorer, fitted_bayes(rows))
+    scored = score_both(part(trained_rows(spark, sf), "test"), trained_trees(spark, sf), trained_bayes(spark, sf))
     path = f"{new_folder(spark, 'evaluation')}/report"
     FraudEvaluator(scored).run(path)
     return sinks.read_report(spark, path).drop("elapsed_s")

@@ -54,6 +54,12 @@ def new_folder(spark: SparkSession, name: str) -> str:
 _tables: list[str] = []  # folders that materialize() has written and nobody has dropped
 
 
+def own_folder(path: str) -> str:
+    """Leave a folder to the `scratch` around the caller, as those of materialize() are."""
+    _tables.append(path)
+    return path
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Owner of the tables that materialize() writes inside: they are deleted at the end.

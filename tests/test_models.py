@@ -101,10 +101,13 @@ def test_save_and_load(spark, data, scorer, logit, tmp_path):
     same(bayes.BayesLogit.load(spark, str(tmp_path / "bayes")).predict(data), logit.predict(data), "TransactionID")
 
 
-def test_unseen_category_gets_the_train_code_zero(data, scorer):
-    odd = data.withColumn("ProductCD", F.lit("never seen"))
-    first = data.agg(F.min("ProductCD")).first()[0]
-    same(scorer.predict_proba(odd), scorer.predict_proba(data.withColumn("ProductCD", F.lit(first))), "TransactionID")
+def test_unseen_categories_share_one_score(data, scorer):
+    """Values that the training rows do not hold are one category, whatever they are."""
+    odd = lambda v: scorer.predict_proba(data.withColumn("ProductCD", F.lit(v)))
+    same(odd("never seen"), odd("nor this"), "TransactionID")
+    place = scorer.feature_names_.index("ProductCD")
+    codes = scorer._inputs(data.withColumn("ProductCD", F.lit("never seen")), ["TransactionID"]).select(F.col("__x")[place].alias("c")).distinct().collect()
+    assert [r["c"] for r in codes] == [data.where("split = 'train'").select("ProductCD").distinct().count()]
 
 
 def test_full_report(spark, data, scorer, logit, tmp_path):
