@@ -546,38 +546,38 @@ TREES = trees.TrainerConfig()
 TREE_INPUTS = list(dict.fromkeys(["TransactionAmt", "ProductCD", *FEATURES]))
 
 
-_trained: dict[tuple[str, str], str] = {}  # where the models of a session and table folder are stored
+_trained: dict[tuple[str, str, str], str] = {}  # what a session has stored for a table folder
 
 
-def trained(spark: SparkSession, sf: str) -> str:
-    """Folder with the model inputs (`rows`), the trees and the posterior model of all tables of `sf`.
-
-    The whole training (the search, the fit of its best point, the posterior) runs once in a session; the model queries
-    read what it has stored.
-    """
-    key = spark.sparkContext.applicationId, sf
+def stored_once(spark: SparkSession, sf: str, name: str, write: Callable[[str], None]) -> str:
+    """Folder of something that several queries read; `write` fills it at the first call of a session."""
+    key = spark.sparkContext.applicationId, sf, name
     if key not in _trained:
-        folder = new_folder(spark, "models")
-        rows = model_rows(spark, sf, [*TREE_INPUTS, *BAYES_INPUTS])
-        rows.write.parquet(f"{folder}/rows")
-        rows = spark.read.parquet(f"{folder}/rows")
-        inputs = rows.select("TransactionID", "isFraud", "split", *TREE_INPUTS)
-        trees.TreeScorer(TREES).fit(part(inputs, "train"), part(inputs, "val")).save(spark, f"{folder}/trees")
-        fitted_bayes(rows).save(spark, f"{folder}/bayes")
+        folder = new_folder(spark, name)
+        write(folder)
         _trained[key] = folder
     return _trained[key]
 
 
 def trained_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{trained(spark, sf)}/rows")
+    """Model inputs of all rows."""
+    made = lambda path: model_rows(spark, sf, [*TREE_INPUTS, *BAYES_INPUTS]).write.parquet(path)
+    return spark.read.parquet(stored_once(spark, sf, "rows", made))
 
 
 def trained_trees(spark: SparkSession, sf: str) -> trees.TreeScorer:
-    return trees.TreeScorer.load(spark, f"{trained(spark, sf)}/trees")
+    """The whole training (the search, then the fit of its best point), run once in a session."""
+
+    def make(path: str) -> None:
+        rows = trained_rows(spark, sf).select("TransactionID", "isFraud", "split", *TREE_INPUTS)
+        trees.TreeScorer(TREES).fit(part(rows, "train"), part(rows, "val")).save(spark, path)
+
+    return trees.TreeScorer.load(spark, stored_once(spark, sf, "trees", make))
 
 
 def trained_bayes(spark: SparkSession, sf: str) -> bayes.BayesLogit:
-    return bayes.BayesLogit.load(spark, f"{trained(spark, sf)}/bayes")
+    made = lambda path: fitted_bayes(trained_rows(spark, sf)).save(spark, path)
+    return bayes.BayesLogit.load(spark, stored_once(spark, sf, "bayes", made))
 
 
 def m2_tree_fit(spark: SparkSession, sf: str) -> DataFrame:
