@@ -20,7 +20,7 @@ from riskframe.plans.evaluation import FraudEvaluator, score_both
 from riskframe.plans.features import FeaturePipeline, PipelineConfig
 from riskframe.session import materialize, new_folder
 from riskframe.sources import narrowing, sinks, tables
-from riskframe.streaming import jobs
+from riskframe.streaming import jobs, state
 
 Query = Callable[[SparkSession, str], DataFrame]
 DIGITS = 9
@@ -738,23 +738,19 @@ STREAM_PARTS = 4
 
 
 def t2_stream_velocity(spark: SparkSession, sf: str) -> DataFrame:
-    """The events arrive in four parts in order of time; windows reach across parts."""
+    """The events arrive in four parts in order of time; windows reach across parts through keyed state."""
     folder = new_folder(spark, "stream")
     events = fx.table(spark, sf, "events")
     rows = F.timestamp_diff("SECOND", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
     low, high = events.agg(F.min(rows), F.max(rows)).first()
     quarter = F.least(F.floor((rows - low) * STREAM_PARTS / max(1, high - low)), F.lit(STREAM_PARTS - 1))
     for k in range(STREAM_PARTS):
-        # what arrived since the last run; history carries the earlier parts over
+        # what arrived since the last run; the state carries the earlier parts over
         events.where(quarter == k).write.mode("append").parquet(f"{folder}/in")
         stream = fx.txn(spark, sf, spark.readStream.schema(events.schema).parquet(f"{folder}/in"))
-        _drain(
-            jobs.velocity_stream(
-                stream, f"{folder}/out", f"{folder}/history", f"{folder}/state", entity_cols=["card1"], amount_scale=CENTS
-            )
-        )
-    out = spark.read.parquet(f"{folder}/out")
-    return out.select("TransactionID", *velocity.expected_feature_names(["card1"]))
+        made = state.velocity_state(stream, ["card1"], amount_scale=CENTS)
+        _drain(jobs.write_stream(made, f"{folder}/out", f"{folder}/state"))
+    return state.wide_velocity(spark.read.parquet(f"{folder}/out"), ["card1"])
 
 
 def t3_label_monitor(spark: SparkSession, sf: str) -> DataFrame:

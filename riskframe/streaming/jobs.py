@@ -1,7 +1,8 @@
 """Structured Streaming versions of the features: row-wise, velocity, and a label-rate monitor.
 
 Row-wise features and encoder lookups need no state: `FeaturePipeline` with velocity switched off takes a
-stream as it is. Velocity keeps its history as a Parquet table next to the output, not as operator state:
+stream as it is. Velocity comes in two forms. `velocity_state` keeps the last window of every entity as keyed operator
+state with a watermark (module `state`). `velocity_stream` keeps its history as a Parquet table next to the output:
 each micro-batch is computed by the batch operator over the last window of history, so hot entities are
 cut into chunks here too. The history is partitioned by day; days that no row within the allowed lateness can see any
 more are deleted, so its size is bounded by the longest window and the lateness.

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from riskframe import fixtures
 from riskframe.operators.velocity import compute_velocity_features, expected_feature_names
 from riskframe.plans.features import FeaturePipeline, PipelineConfig
-from riskframe.streaming import jobs
+from riskframe.streaming import jobs, state
 
 
 def stream_of(spark, txn, folder, parts):
@@ -59,3 +59,47 @@ def test_monitor_equals_the_batch(spark, tmp_path):
     batch = jobs.label_rate_monitor(rows(events), "at")
     assert closed.count() > 0
     same(closed, batch.join(closed.select("window_start"), "window_start"), "window_start")
+
+
+HOUR = {"1h": 3_600, "6h": 21_600}
+
+
+def test_keyed_state_equals_one_batch(spark, txn, tmp_path):
+    """Ordered replay in five batches, NULL entities and amounts included; the state of passed chunks is gone."""
+    odd = txn.withColumn("TransactionAmt", F.when(F.col("TransactionID") % 11 != 0, F.col("TransactionAmt")))
+    odd = odd.withColumn("TransactionDT", F.col("TransactionDT") - F.col("TransactionDT") % 7).where("TransactionDT < 2000000")
+    stream = stream_of(spark, odd, str(tmp_path / "in"), 5)
+    entities = ["card1", "addr1"]
+    query = jobs.write_stream(state.velocity_state(stream, entities, HOUR, lateness=60), str(tmp_path / "out"), str(tmp_path / "state"))
+    query.awaitTermination()
+    got = state.wide_velocity(spark.read.parquet(str(tmp_path / "out")), entities, HOUR)
+    names = ["TransactionID", *expected_feature_names(entities, HOUR)]
+    want = compute_velocity_features(odd, entities, HOUR)
+    assert want.where("vel_card1_6h_count > 1").count() > 0
+    same(got.select(*names), want.select(*names), "TransactionID")
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    keys = odd.select("card1").distinct().count() + odd.select("addr1").distinct().count()
+    made = sum(p["stateOperators"][0]["numRowsUpdated"] for p in query.recentProgress if p["stateOperators"])
+    # chunks that the watermark has not passed: at most two and the one to come, for every entity
+    assert held[-1] <= 3 * keys < made
+
+
+def test_rows_behind_the_watermark_are_dropped(spark, tmp_path):
+    schema = "TransactionID long, TransactionDT long, TransactionAmt double, card1 string"
+    batches = [
+        [(1, 0, 1.0, "a"), (2, 100, 2.0, "a"), (9, None, 5.0, "a")],
+        [(3, 50_000, 4.0, "a"), (4, 50_100, None, "a"), (5, 50_100, float("nan"), None)],
+        [(7, 50_200, 16.0, "a")],
+        [(6, 49_400, 8.0, "a"), (8, 50_050, 32.0, "a"), (10, 50_300, 1.0, "a"), (11, 50_300, 1.0, None)],  # 6 is behind 50,100 - 600, 8 is not
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    made = state.velocity_state(stream, ["card1"], {"1h": 3_600}, lateness=600)
+    jobs.write_stream(made, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    out = state.wide_velocity(spark.read.parquet(str(tmp_path / "out")), ["card1"], {"1h": 3_600}).collect()
+    got = {r["TransactionID"]: (r["vel_card1_1h_count"], r["vel_card1_1h_sum"], r["vel_card1_1h_mean_amt"]) for r in out}
+    assert got == {
+        1: (0, 0.0, 0.0), 2: (1, 1.0, 1.0), 9: (0, 0.0, 0.0), 3: (0, 0.0, 0.0), 4: (1, 4.0, 4.0), 5: (0, 0.0, 0.0),
+        7: (1, 4.0, 4.0), 8: (1, 4.0, 4.0), 10: (3, 52.0, 52.0 / 3), 11: (0, 0.0, 0.0),
+    }
