@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,16 +24,24 @@ class SplitConfig:
     label_col: str = LABEL
     id_col: str = ID
 
-    def __post_init__(self) -> None:
-        for name in ("train_frac", "val_frac"):
-            if not 0 < getattr(self, name) < 1:
-                raise ValueError(f"{name} must be strictly between 0 and 1")
-        if self.train_frac + self.val_frac >= 1.0:
-            raise ValueError("train_frac + val_frac must stay below 1, the test split would be empty")
+    @property
+    def shares(self) -> tuple[float, ...]:
+        """Shares of the splits in order; the last one is what the others leave."""
+        given = self.train_frac, self.val_frac
+        return *given, 1.0 - sum(given)
 
     @property
     def test_frac(self) -> float:
-        return 1.0 - self.train_frac - self.val_frac
+        return self.shares[-1]
+
+    def cuts(self, rows: int) -> list[int]:
+        """Rank of the first row after each split but the last."""
+        return [int(rows * end) for end in list(accumulate(self.shares))[:-1]]
+
+    def __post_init__(self) -> None:
+        for name, share in zip(SPLITS, self.shares):
+            if not 0 < share < 1:
+                raise ValueError(f"the {name} split must hold a share strictly between 0 and 1, not {share}")
 
 
 def assign_split(
@@ -43,25 +52,15 @@ def assign_split(
     The full table is never sorted or shuffled: each row is compared with two literal cut points.
     """
     require(df, [config.time_col, config.id_col], "assign_split")
-    time, key = F.col(config.time_col), config.id_col
-    sizes = df.agg(F.count(F.lit(1)).alias("n"), F.count(time).alias("timed")).first()
-    total, timed = sizes["n"], sizes["timed"]
-    cuts = [int(total * config.train_frac), int(total * (config.train_frac + config.val_frac))]
-    early = [c for c in cuts if c < timed]
-    at = dict(zip(early, kth_keys(df.where(time.isNotNull()), [config.time_col, key], early, timed, single_task_rows)))
-    late = [c for c in cuts if timed <= c < total]
-    if late:  # a cut among the rows without a time: those are ordered by id alone
-        untimed = kth_keys(df.where(time.isNull()), [key], [c - timed for c in late], total - timed, single_task_rows)
-        at.update(zip(late, untimed))
-    tests: list[Column] = []
-    for cut in cuts:
-        if cut >= total:
-            tests.append(F.lit(True))
-        elif cut < timed:
-            tests.append(F.coalesce(before_key([config.time_col, key], at[cut]), F.lit(False)))
-        else:
-            tests.append(time.isNotNull() | (F.col(key) < F.lit(at[cut][0])))
-    return df.withColumn("split", F.when(tests[0], "train").when(tests[1], "val").otherwise("test"))
+    keys = [config.time_col, config.id_col]
+    total = df.count()
+    names = list(zip(SPLITS, config.cuts(total)))
+    inner = [cut for _, cut in names if cut < total]
+    at = dict(zip(inner, kth_keys(df, keys, inner, total, single_task_rows)))
+    part = F.lit(SPLITS[-1])
+    for name, cut in reversed(names):
+        part = F.when(before_key(df, keys, at[cut]) if cut < total else F.lit(True), name).otherwise(part)
+    return df.withColumn("split", part)
 
 
 def time_aware_split(df: DataFrame, config: SplitConfig = SplitConfig()) -> tuple[DataFrame, DataFrame, DataFrame]:
