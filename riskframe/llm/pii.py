@@ -7,7 +7,8 @@ keeps, for every character written, the source character it began with and the o
 normalised text maps back to a span of the source. Matches are checked like base ones; those that no rewrite has
 touched are the base matches and add nothing.
 
-A bare "at" counts only if a spelled dot or a bracketed sign follows in the same address, and spelled digits only in
+A bare "at" counts only if a spelled dot or a bracketed sign follows in the same address, which ends with a generic
+label or one of two letters that is no common word; signs between blanks (`a @ b . c`) must all be so written; and spelled digits only in
 runs, so that plain prose stays as it is.
 
 Fixed values of the base kinds (leftmost, non-overlapping per kind; failing matches are dropped, no retries):
@@ -66,7 +67,7 @@ def _table() -> dict[int, str]:
                 table[code] = plain
     for code in (*range(0x660, 0x66A), *range(0x6F0, 0x6FA), *range(0x966, 0x970)):
         table[code] = str(unicodedata.digit(chr(code)))
-    return table | {ord("․"): ".", ord("｡"): ".", ord("‐"): "-", ord("‑"): "-", ord("‒"): "-", ord("–"): "-", ord(" "): " ", ord(" "): " "}
+    return table | {ord("․"): ".", ord("｡"): ".", ord("。"): ".", ord("‐"): "-", ord("‑"): "-", ord("‒"): "-", ord("–"): "-", ord(" "): " ", ord(" "): " "}
 
 
 TABLE = _table()
@@ -83,19 +84,26 @@ _AT = r"(?:\s?[\[({<]\s?(?:at|@|arroba)\s?[\])}>]\s?)"
 _BARE_AT = r"(?:\s(?:at|arroba)\s)"
 _DOT = r"(?:\s?[\[({<]\s?(?:dot|punkt|point|punto|\.)\s?[\])}>]\s?)"
 _BARE_DOT = r"(?:\s(?:dot|punkt|point|punto)\s)"
-_NAME = r"[A-Za-z0-9_%+-]+"
-_LABEL = r"[A-Za-z0-9-]+"
+_NAME = r"[A-Za-z0-9_%+-]"
+_LABEL = r"[A-Za-z0-9-]"
 _ANY_DOT = rf"(?:{_DOT}|{_BARE_DOT}|\.)"
+_SPACED = rf"\s@\s{_LABEL}+(?:\s\.\s{_LABEL}+)*\s\.\s(?P<end>[A-Za-z]{{2,24}})"
+#: A whole run of dotted names, and the rest of an address if one follows. Names and labels are unbounded; a run without
+#: an address is passed as a whole, so that each is read twice at most.
 DISGUISED = re.compile(
-    rf"(?<![A-Za-z0-9._%+-]){_NAME}(?:{_ANY_DOT}{_NAME}){{0,4}}"
-    rf"(?:(?:{_AT}|@){_LABEL}(?:{_ANY_DOT}{_LABEL}){{0,4}}{_ANY_DOT}[A-Za-z]{{2,24}}"
-    rf"|{_BARE_AT}{_LABEL}(?:{_ANY_DOT}{_LABEL}){{0,4}}(?:{_DOT}|{_BARE_DOT})([A-Za-z]{{2,24}}))(?![A-Za-z0-9])",
+    rf"(?<![A-Za-z0-9._%+-]){_NAME}+(?:{_ANY_DOT}{_NAME}+)*+"
+    rf"(?P<domain>(?:{_AT}|@){_LABEL}+(?:{_ANY_DOT}{_LABEL}+)*{_ANY_DOT}[A-Za-z]{{2,24}}(?![A-Za-z0-9])"
+    rf"|{_BARE_AT}{_LABEL}+(?:{_ANY_DOT}{_LABEL}+)*(?:{_DOT}|{_BARE_DOT})(?P<last>[A-Za-z]{{2,24}})(?![A-Za-z0-9])"
+    rf"|{_SPACED}(?![A-Za-z0-9]))?",
     re.IGNORECASE,
 )
+SPACED_SIGN = re.compile(r"\s([@.])\s")
 AT_SIGN = re.compile(rf"{_AT}|{_BARE_AT}", re.IGNORECASE)
 DOT_SIGN = re.compile(rf"{_DOT}|{_BARE_DOT}", re.IGNORECASE)
-#: Last labels that an address without any bracket or sign must end with.
-LAST_LABELS = frozenset("com org net edu gov mil int info biz name dev app io ai co me tv us uk de fr es eu it nl at ch be pt pl se no fi dk ie ca au nz in br mx ar cl jp cn kr ru".split())
+#: Last labels that an address without any bracket or sign or with signs between blanks must end with, besides those of two letters.
+LAST_LABELS = frozenset("com org net edu gov mil int info biz name dev app in us it is no be at me io ai co".split())
+#: Words of two letters that prose may hold after "dot"; they end no such address.
+SHORT_WORDS = frozenset("am an as by do go he hi if my of oh ok on or so to up we".split())
 AT_WORDS, DOT_WORDS = frozenset({"at", "arroba"}), frozenset({"dot", "punkt", "point", "punto"})
 WORDS = re.compile(r"[^\W\d_]+")
 BRACKETED = re.compile(r"[\[({<]\s?(?:at|@|arroba|dot|punkt|point|punto|\.)\s?[\])}>]", re.IGNORECASE)
@@ -213,16 +221,26 @@ def _digits(tape: Tape) -> None:
         tape.rewrite(edits)
 
 
+def _may_end(last: str | None) -> bool:
+    """Whether an address whose signs are all spelled or between blanks may end with this label; other forms have none to check."""
+    if last is None:
+        return True
+    last = last.lower()
+    return last in LAST_LABELS or (len(last) == 2 and last.isascii() and last not in SHORT_WORDS)
+
+
 def _addresses(tape: Tape) -> None:
     edits = []
     for pattern in (DISGUISED, IP_DISGUISED):
         for m in pattern.finditer(tape.text):
-            if pattern is DISGUISED and m[1] is not None and m[1].lower() not in LAST_LABELS:
+            if pattern is DISGUISED and (m["domain"] is None or not _may_end(m["last"] or m["end"])):
                 continue
             inner = [(*x.span(), ".") for x in DOT_SIGN.finditer(tape.text, *m.span())]
             if pattern is DISGUISED:
                 signs = [(*x.span(), "@") for x in AT_SIGN.finditer(tape.text, *m.span())]
-                inner += signs[-1:] if "@" not in m[0] or signs else []
+                inner += signs[-1:]
+                inner += [(*x.span(), x[1]) for x in SPACED_SIGN.finditer(tape.text, *m.span("domain"))]
+                inner.sort()
             edits += inner
     edits.sort()
     kept = []
@@ -243,6 +261,7 @@ def hints(text: str) -> tuple[bool, bool]:
     address = not words.isdisjoint(AT_WORDS) and not words.isdisjoint(DOT_WORDS)
     if not address:
         bare = not words.isdisjoint(DOT_WORDS) and any(map(text.__contains__, "0123456789@"))
+        bare = bare or ("@" in text and SPACED_SIGN.search(text) is not None)
         address = bare or (any(map(text.__contains__, "[({<")) and BRACKETED.search(text) is not None)
     return address, not words.isdisjoint(DIGIT_NAMES)
 

@@ -42,3 +42,31 @@ def test_long_failing_runs_take_linear_time():
     assert pii.find("one " + "1" * 5000 + "x")[1] == []
     assert pii.find("one " + "1 " * 20000 + "1x")[1] == []
     assert time.process_time() - start < 5
+
+
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ("to a.b.c.d.e.f(at)x(dot)com ok", "a.b.c.d.e.f(at)x(dot)com"),
+        ("to a dot b dot c dot d dot e dot f at x dot com ok", "a dot b dot c dot d dot e dot f at x dot com"),
+        ("; a at b dot c dot d dot e dot f dot g dot h dot com", "a at b dot c dot d dot e dot f dot g dot h dot com"),
+        ("; john at mail dot cz", "john at mail dot cz"),
+        ("; anna at uni dot edu dot tr.", "anna at uni dot edu dot tr"),
+        ("; john @ example . com now", "john @ example . com"),
+        ("; john @ mail . example . co . uk", "john @ mail . example . co . uk"),
+        ("ｊohn＠example。com", "ｊohn＠example。com"),
+        ("; look at this dot on the page", None),
+        ("; dinner @ noon . Bring wine", None),
+    ],
+)
+def test_addresses_of_any_length_and_ending(text, found):
+    base, every = pii.find(text)
+    added = [text[a:b] for k, a, b in every if (k, a, b) not in base and k == "email"]
+    assert added == ([found] if found else [])
+
+
+def test_long_runs_without_an_address_take_linear_time():
+    start = time.process_time()
+    for text in ("a dot " * 40000 + "at", "a at b" + " dot b" * 40000 + " dot 1", "x at " * 40000 + "dot", "a.b" * 60000 + "(at)", "a @ b" + " . c" * 40000):
+        pii.find(text)
+    assert time.process_time() - start < 10
