@@ -59,8 +59,9 @@ def compute_velocity_features(
     within        extra grouping columns, e.g. `split`, that history must not cross
     amount_scale  number of decimals the amounts have; sums are then taken over 64-bit integers, which is faster
                   than the decimals of the default and as exact if no amount has more places
-    join_on       a unique id: features are then computed from the few columns they need and joined back
-                  once, so a table of hundreds of columns is shuffled once instead of once per entity
+    join_on       an id: features are then computed from the few columns they need, all entities in one exchange and
+                  sort, and joined back once, so a table of hundreds of columns is shuffled once, by that id. Rows that
+                  share an id are told apart by their time and entities
     narrow        32-bit outputs
     """
     require(df, [TIME, AMOUNT], "velocity")
@@ -71,11 +72,7 @@ def compute_velocity_features(
     entities = present(df, entity_cols, "velocity")
     if join_on is not None:
         require(df, [join_on], "velocity")
-        slim = df.select(*dict.fromkeys([join_on, TIME, AMOUNT, *within, *entities]))
-        made = compute_velocity_features(
-            slim, entities, windows, method, history, within, amount_scale, hot_entity_rows, None, narrow
-        )
-        return df.join(made.select(join_on, *expected_feature_names(entities, windows)), join_on, "left")
+        return _joined_back(df, entities, windows, method, history, within, amount_scale, hot_entity_rows, join_on, narrow)
     past = None
     if history is not None:
         past = history.select(*[c for c in dict.fromkeys([TIME, AMOUNT, *within, *entities])])
@@ -87,16 +84,94 @@ def compute_velocity_features(
             out = _chunked(out, df, past, keys, entity, windows, amount_scale)
         else:
             out = _in_place(out, past, keys, entity, windows, amount_scale, chosen[entity] == "sliding")
-        means = {}
+        out = out.withColumns(_means([entity], windows))
+    return _last(out, entities, windows, narrow)
+
+
+def _means(entities: Sequence[str], windows: Mapping[str, int]) -> dict[str, Column]:
+    means = {}
+    for entity in entities:
         for label in windows:
             count, total = F.col(f"vel_{entity}_{label}_count"), F.col(f"vel_{entity}_{label}_sum")
             means[f"vel_{entity}_{label}_mean_amt"] = F.when(count > 0, total / count).otherwise(F.lit(0.0))
-        out = out.withColumns(means)
+    return means
+
+
+def _last(out: DataFrame, entities: Sequence[str], windows: Mapping[str, int], narrow: bool) -> DataFrame:
+    """The features behind the other columns, in their declared order."""
     added = expected_feature_names(entities, windows)
     kept = [c for c in out.columns if c not in added]
     return out.select(*kept, *[F.col(c).cast("float") if narrow else F.col(c) for c in added])
 
 
+def _joined_back(
+    df: DataFrame,
+    entities: list[str],
+    windows: Mapping[str, int],
+    method: str,
+    history: DataFrame | None,
+    within: Sequence[str],
+    scale: int | None,
+    limit: int,
+    join_on: str,
+    narrow: bool,
+) -> DataFrame:
+    """Features depend on time and entities alone, so rows equal in `__k` have equal ones.
+
+    `__k` is a struct: it is never NULL as a whole, and NULL fields are equal in grouping and in the join, which share
+    one partitioning.
+    """
+    parts = list(dict.fromkeys([join_on, TIME, *within, *entities]))
+    keyed = df.withColumn("__k", F.struct(*parts))
+    slim = keyed.select("__k", *dict.fromkeys([TIME, AMOUNT, *within, *entities]))
+    past = None if history is None else history.select(*slim.columns[1:])
+    chosen = _choose(slim, past, entities, within, method, limit)
+    out = keyed
+    together = [e for e in entities if chosen[e] != "chunked"]
+    if together:
+        out = out.join(_together(slim, past, together, within, windows, scale, method == "sliding"), "__k", "left")
+    for entity in entities:
+        if chosen[entity] == "chunked":
+            names = [f"vel_{entity}_{label}_{stat}" for label in windows for stat in ("count", "sum")]
+            hot = _chunked(slim, slim, past, [*within, entity], entity, windows, scale)
+            out = out.join(hot.groupBy("__k").agg(*[F.max(c).alias(c) for c in names]), "__k", "left")
+    return _last(out.withColumns(_means(entities, windows)).drop("__k"), entities, windows, narrow)
+
+
+def _together(
+    slim: DataFrame,
+    past: DataFrame | None,
+    entities: list[str],
+    within: Sequence[str],
+    windows: Mapping[str, int],
+    scale: int | None,
+    sliding: bool,
+) -> DataFrame:
+    """`__k` with counts and sums of all entities: one row per (row, entity), one exchange and sort for all of them."""
+
+    def text(name: str) -> Column:
+        zero_signed = slim.schema[name].dataType.typeName() in ("float", "double")
+        return (F.col(name) + F.lit(0.0) if zero_signed else F.col(name)).cast("string")
+
+    def unpivot(rows: DataFrame, key: Column) -> DataFrame:
+        kinds = [F.struct(F.lit(i).alias("__kind"), text(e).alias("__value")) for i, e in enumerate(entities)]
+        return rows.select(key.alias("__k"), TIME, _amount(scale).alias("__s"), *within, F.inline(F.array(*kinds)))
+
+    long = unpivot(slim, F.col("__k"))
+    if past is not None:
+        long = long.unionByName(unpivot(past, F.lit(None).cast(slim.schema["__k"].dataType)))
+    keys = [*within, "__kind", "__value"]
+    stats, picks = [], []
+    for label, width in windows.items():
+        count, total = _stats(keys, lambda w: F.count("__s").over(w), width, sliding, scale)
+        stats += [count.alias(f"__{label}_count"), total.alias(f"__{label}_sum")]
+    for i, entity in enumerate(entities):
+        for label in windows:
+            for stat in ("count", "sum"):
+                picks.append(F.max(F.when(F.col("__kind") == i, F.col(f"__{label}_{stat}"))).alias(f"vel_{entity}_{label}_{stat}"))
+    return long.select("__k", "__kind", *stats).where("__k IS NOT NULL").groupBy("__k").agg(*picks)
+
+
 def _choose(
     df: DataFrame, past: DataFrame | None, entities: list[str], within: Sequence[str], method: str, limit: int
 ) -> dict[str, str]:

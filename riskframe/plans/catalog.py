@@ -532,7 +532,7 @@ def model_rows(spark: SparkSession, sf: str, columns: Sequence[str]) -> DataFram
     """Id, label, `split` and the named features of all rows, written once for the several fits."""
     rows = tagged(spark, sf)
     wants_velocity = any(c.startswith("vel_") for c in columns)
-    config = PipelineConfig(run_velocity=wants_velocity, amount_scale=CENTS, velocity_join_on="TransactionID")
+    config = PipelineConfig(run_velocity=wants_velocity, amount_scale=CENTS)
     plan = FeaturePipeline(config).fit(rows.where("split = 'train'"))
     made = plan.transform(joins.merge_tables(rows, fx.identity(spark, sf)))
     return materialize(made.select(*dict.fromkeys(["TransactionID", "isFraud", "split", *columns])))

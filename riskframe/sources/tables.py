@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +16,12 @@ from riskframe.schema import column_type
 from riskframe.sources.narrowing import narrow_schema
 
 FORMATS = ("parquet", "csv")
+#: How CSV splits are written and read, so that NULL, empty text, blanks, quotes and microseconds come back.
+MISSING = "\\N"
+CSV_SPLIT = {
+    "header": True, "nullValue": MISSING, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
 WHOLE = T.DecimalType(38, 6)  # how whole numbers are read from text
 
 
@@ -73,21 +80,54 @@ def load_and_merge(spark: SparkSession, txn_path: str, identity_path: str, narro
 
 
 def save_splits(train: DataFrame, val: DataFrame, test: DataFrame, out_dir: str, fmt: str = "parquet") -> dict[str, str]:
-    """Writes one folder per split and returns their paths."""
+    """Writes one folder per split and returns their paths.
+
+    Beside a CSV split stands `<name>.schema`: its column types, and whether texts hold line breaks. Both are learnt while
+    it is written. A text that reads like the mark of a missing value (`MISSING`) is refused.
+    """
     if fmt not in FORMATS:
         raise ValueError(f"unsupported format '{fmt}', choose 'parquet' or 'csv'")
     paths = {}
     for name, part in zip(SPLITS, (train, val, test)):
         paths[name] = f"{out_dir}/{name}.{fmt}"
-        part.write.mode("overwrite").format(fmt).options(**({"header": True} if fmt == "csv" else {})).save(paths[name])
+        if fmt == "csv":
+            _save_csv(part, paths[name], f"{out_dir}/{name}.schema")
+        else:
+            part.write.mode("overwrite").parquet(paths[name])
     return paths
 
 
+def _save_csv(part: DataFrame, path: str, schema_path: str) -> None:
+    texts = [F.col(f"`{f.name}`") for f in part.schema.fields if isinstance(f.dataType, T.StringType)]
+    some = lambda test: F.coalesce(F.max(F.greatest(F.lit(False), F.lit(False), *[test(c) for c in texts])), F.lit(False))
+    seen = Observation()
+    watched = part.observe(seen, some(lambda c: c.rlike("[\\r\\n]")).alias("breaks"), some(lambda c: c == MISSING).alias("clash"))
+    watched.write.mode("overwrite").options(**CSV_SPLIT).csv(path)
+    if seen.get["clash"]:
+        raise ValueError(f"a text equals {MISSING}, the mark of missing values: save the splits as parquet")
+    manifest = json.dumps({"schema": part.schema.jsonValue(), "breaks": seen.get["breaks"]})
+    rows = part.sparkSession.createDataFrame([(manifest,)], "value string")
+    rows.coalesce(1).write.mode("overwrite").text(schema_path)
+
+
+def _load_csv(spark: SparkSession, path: str, schema_path: str) -> DataFrame:
+    """By the schema beside it; a folder without one is read with inferred types."""
+    try:
+        manifest = json.loads(_read(spark, schema_path, "text").first()["value"])
+    except FileNotFoundError:
+        return read_csv(spark, path, infer=True)
+    schema = T.StructType.fromJson(manifest["schema"])
+    return _read(spark, path, "csv", schema, mode="FAILFAST", multiLine=manifest["breaks"], **CSV_SPLIT)
+
+
 def load_splits(spark: SparkSession, in_dir: str, fmt: str = "parquet") -> tuple[DataFrame, DataFrame, DataFrame]:
     if fmt not in FORMATS:
         raise ValueError(f"unsupported format '{fmt}', choose 'parquet' or 'csv'")
-    read = (lambda p: read_csv(spark, p, infer=True)) if fmt == "csv" else (lambda p: _read(spark, p))
-    train, val, test = (read(f"{in_dir}/{name}.{fmt}") for name in SPLITS)
+    at = lambda name: f"{in_dir}/{name}"
+    if fmt == "csv":
+        train, val, test = (_load_csv(spark, at(f"{n}.csv"), at(f"{n}.schema")) for n in SPLITS)
+    else:
+        train, val, test = (_read(spark, at(f"{n}.parquet")) for n in SPLITS)
     return train, val, test
 
 

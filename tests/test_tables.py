@@ -19,6 +19,20 @@ def test_splits_round_trip(spark, txn, tmp_path):
             same(after.select("TransactionID", "TransactionAmt"), before, "TransactionID")
 
 
+def test_csv_splits_come_back_by_their_schema(spark, tmp_path):
+    schema = "id long, zip string, note string, gone double, flag boolean, small float, day date, at timestamp, amount decimal(12,2)"
+    day = F.expr("date '2024-02-29'"), F.expr("timestamp '2024-02-29 01:02:03.000004'")
+    made = [(1, "007", ' a "b", c ', None, True, 0.1, "1.50"), (2, "", "two\nlines", None, None, None, None), (3, None, "\\", None, False, 1e-7, "0.10")]
+    rows = spark.createDataFrame(made, "id long, zip string, note string, gone double, flag boolean, small float, amount string")
+    rows = rows.withColumns({"day": day[0], "at": day[1], "amount": F.col("amount").cast("decimal(12,2)")}).select(*[c.split()[0] for c in schema.split(", ")])
+    tables.save_splits(rows, rows.where("id = 3"), rows.where("id = 9"), str(tmp_path), "csv")
+    train, val, test = tables.load_splits(spark, str(tmp_path), "csv")
+    assert train.schema.simpleString() == rows.schema.simpleString() == test.schema.simpleString()
+    assert sorted(train.collect()) == sorted(rows.collect()) and val.collect() == rows.where("id = 3").collect() and test.count() == 0
+    with pytest.raises(ValueError, match="missing values"):
+        tables.save_splits(*[rows.withColumn("zip", F.lit(tables.MISSING))] * 3, str(tmp_path / "clash"), "csv")
+
+
 def test_unknown_format_and_missing_path(spark, txn, tmp_path):
     with pytest.raises(ValueError):
         tables.save_splits(txn, txn, txn, str(tmp_path), "orc")
@@ -193,3 +207,14 @@ def test_lookup_without_an_id_column_above_the_bound(spark):
     small = joins.lookup_join(df, lookup, {"m": F.col("m")})
     large = joins.lookup_join(df, lookup, {"m": F.col("m")}, broadcast_rows=0)
     assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))
+
+
+def test_a_probe_key_with_most_rows_is_spread(spark):
+    """Two keys and no weight: nine tenths of the probe rows hold one key that the fitted counts do not know as hot."""
+    df = spark.range(60_000).selectExpr("id AS TransactionID", "if(id % 10 > 0, 7, id) AS a", "if(id % 10 > 0, 'x', if(id % 3 = 0, NULL, 'y')) AS b")
+    table = df.select("a", "b").distinct().where("b IS NOT NULL").selectExpr("a", "b", "a * 2 AS v")
+    lookup = joins.Lookup.build(table, ["a", "b"])
+    code = F.xxhash64("a", "b").alias("__code")
+    assert joins.hot_codes(df.select(code)) == [df.where("a = 7 AND b = 'x'").select(code).first()[0]]
+    large = joins.lookup_join(df, lookup, {"v": F.col("v")}, broadcast_rows=0)
+    same(large, joins.lookup_join(df, lookup, {"v": F.col("v")}), "TransactionID")

@@ -153,3 +153,26 @@ def test_all_methods_agree_on_odd_amounts_and_times(spark):
     assert by_id[5]["vel_card1_7d_count"] == 0 and by_id[10]["vel_card1_1h_sum"] == 1.001
     twice = compute_velocity_features(compute_velocity_features(df, ["card1"]), ["card1"])
     assert sorted(map(str, twice.select(*names).collect())) == wanted
+
+
+def _odd_rows(spark):
+    """Repeated ids, NULL and NaN entities, signed zeros, ties and a row without time."""
+    made = [(i % 40, (i * 37) % 300, float(i % 9), [None, float("nan"), 0.0, -0.0, 1.5][i % 5], ["a", None, "NULL"][i % 3]) for i in range(200)]
+    return spark.createDataFrame([*made, (7, None, 1.0, 0.0, "a"), made[3]], "TransactionID long, TransactionDT long, TransactionAmt double, u double, v string")
+
+
+@pytest.mark.parametrize("method, hot", [("prefix", 10**6), ("sliding", 10**6), ("auto", 20), ("chunked", 1)])
+def test_all_entities_in_one_exchange_give_the_same(spark, method, hot):
+    df, windows = _odd_rows(spark), {"s": 10, "l": 100}
+    options = dict(entity_cols=["u", "v"], windows=windows, history=df.where("TransactionID < 5"), hot_entity_rows=hot)
+    plain = compute_velocity_features(df, method="sliding", **options)
+    joined = compute_velocity_features(df, method=method, join_on="TransactionID", **options)
+    assert joined.columns == plain.columns
+    assert sorted(map(str, joined.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_wide_rows_are_shuffled_by_their_id_only(spark, txn):
+    wide = txn.withColumn("__payload", F.lit("x"))
+    plan = compute_velocity_features(wide, join_on="TransactionID", method="prefix")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1 and plan.count("Generate inline") == 1
+    assert "__payload" not in plan.split("Aggregate")[-1]
