@@ -15,16 +15,16 @@ from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskframe.functions.columns import direction, excludes_zero, sigmoid
-from riskframe.operators.coding import Scaler
+from riskframe.operators.coding import LabelEncoders, Scaler, apply_codes, fit_label_encoders
 from riskframe.operators.ordering import exact_quantiles
 from riskframe.operators.sampling import stratified_sample
 from riskframe.schema import ID, LABEL, present
+from riskframe.session import materialize
 from riskframe.sources.sinks import write_artefact
 
 # The default features, and the tails of the 94 % interval.
@@ -76,47 +76,76 @@ def newton_sums(df: DataFrame, features: Sequence[str], theta: Sequence[float],
     return rows.agg(*sums)
 
 
-def newton_blocks(
-    df: DataFrame, features: Sequence[str], theta: np.ndarray, label: str = LABEL
-) -> tuple[np.ndarray, np.ndarray]:
-    """The sums of `newton_sums` as arrays (gradient, curvature). Each task returns one block to be added up."""
+@dataclass(frozen=True)
+class Sums:
+    """Log-likelihood with its gradient and curvature at one point."""
+
+    value: float
+    gradient: np.ndarray
+    curvature: np.ndarray
+
+
+def newton_blocks(df: DataFrame, features: Sequence[str], theta: np.ndarray, label: str = LABEL) -> Sums:
+    """The sums of `newton_sums` as arrays, with the log-likelihood. Each task returns one block to be added up."""
     names, size = list(features), len(theta)
 
     def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gradient, curvature = np.zeros(size), np.zeros((size, size))
+        value, gradient, curvature = 0.0, np.zeros(size), np.zeros((size, size))
         for batch in batches:
             x = np.column_stack([np.ones(len(batch)), batch[names].to_numpy(float)])
-            p = 1.0 / (1.0 + np.exp(-(x @ theta)))
-            gradient += x.T @ (batch[label].to_numpy(float) - p)
+            y, z = batch[label].to_numpy(float), x @ theta
+            p = 1.0 / (1.0 + np.exp(-z))
+            value += float((y * z - np.logaddexp(0.0, z)).sum())
+            gradient += x.T @ (y - p)
             curvature += (x * (p * (1.0 - p))[:, None]).T @ x
-        yield pd.DataFrame({"v": [np.concatenate([gradient, curvature.ravel()])]})
+        yield pd.DataFrame({"v": [np.concatenate([[value], gradient, curvature.ravel()])]})
 
     blocks = df.select(label, *names).mapInPandas(block, "v array<double>")
     sums = blocks.select(F.posexplode("v").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
-    flat = np.zeros(size + size * size)
-    for row in sums.collect():  # size + size^2 rows
+    flat = np.zeros(1 + size + size * size)
+    for row in sums.collect():  # 1 + size + size^2 rows
         flat[row["i"]] = row["v"]
-    return flat[:size], flat[size:].reshape(size, size)
+    return Sums(float(flat[0]), flat[1 : size + 1], flat[size + 1 :].reshape(size, size))
+
+
+@dataclass(frozen=True)
+class Mode:
+    """The posterior mode, the diagonal of the curvature there, and the largest entry of the gradient there."""
+
+    mode: np.ndarray
+    curvature: np.ndarray
+    gradient_norm: float
 
 
-def posterior_mode(
-    df: DataFrame, features: Sequence[str], label: str, config: BayesConfig
-) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior mode and the diagonal of the curvature there; damped Newton from zero."""
+def posterior_mode(df: DataFrame, features: Sequence[str], label: str, config: BayesConfig) -> Mode:
+    """Damped Newton from zero with a line search: a step that lowers the log-posterior is halved.
+
+    One pass per point gives value, gradient and curvature, so a step that is kept costs no pass of its own.
+    """
     size = len(features) + 1
     precision = np.full(size, 1.0 / config.prior_beta_sigma**2)
     precision[0] = 1.0 / config.prior_alpha_sigma**2
+
+    def at(point: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        sums = newton_blocks(df, features, point, label)
+        value = sums.value - 0.5 * float(precision @ point**2)
+        return value, sums.gradient - precision * point, sums.curvature + np.diag(precision)
+
     theta = np.zeros(size)
-    hessian = np.diag(precision)
+    value, gradient, hessian = at(theta)
     for _ in range(config.max_steps):
-        gradient, curvature = newton_blocks(df, features, theta, label)
-        hessian = curvature + np.diag(precision)
-        step = np.linalg.solve(hessian, gradient - precision * theta)
+        step = np.linalg.solve(hessian, gradient)
         step *= min(1.0, 5.0 / max(np.abs(step).max(), 1e-12))
+        found = at(theta + step)
+        # sums of floats in another order differ in their last digits
+        while found[0] < value - 1e-9 * (1.0 + abs(value)) and np.abs(step).max() >= config.tolerance:
+            step = step / 2
+            found = at(theta + step)
         theta = theta + step
+        value, gradient, hessian = found
         if np.abs(step).max() < config.tolerance:
             break
-    return theta, np.diag(hessian)
+    return Mode(theta, np.diag(hessian), float(np.abs(gradient).max()))
 
 
 def draw_column(draws: Sequence[tuple[float, Sequence[float]]]) -> Column:
@@ -203,6 +232,8 @@ class BayesLogit:
         self.scaler_: Scaler | None = None
         self.alpha_: np.ndarray | None = None  # (draws,)
         self.beta_: np.ndarray | None = None  # (draws, features)
+        self.codes_: LabelEncoders | None = None  # of text features
+        self.gradient_norm_: float | None = None  # largest entry of the gradient of the log-posterior at the mode
 
     def fit(self, df: DataFrame, label_col: str = LABEL, id_col: str = ID) -> BayesLogit:
         cfg = self.config
@@ -212,17 +243,23 @@ class BayesLogit:
         rows = df.select(*dict.fromkeys([id_col, label_col, *features]))
         if cfg.n_sample_max is not None:
             rows = stratified_sample(rows, cfg.n_sample_max, cfg.min_fraud_in_sample, label_col, id_col, cfg.random_seed)
-        rows = rows.drop(id_col).persist(StorageLevel.MEMORY_AND_DISK)
+        texts = [c for c in features if isinstance(rows.schema[c].dataType, T.StringType)]
+        self.codes_ = fit_label_encoders(rows, label_col, columns=texts) if texts else None
+        rows = materialize(self._coded(rows).drop(id_col))
         self.feature_names_ = features
         self.scaler_ = Scaler.fit(rows, features)
         scaled = self.scaler_.transform(rows, keep=[label_col])
-        mode, curvature = posterior_mode(scaled, features, label_col, cfg)
-        rows.unpersist()
+        fit = posterior_mode(scaled, features, label_col, cfg)
+        self.gradient_norm_ = fit.gradient_norm
         rng = np.random.default_rng(cfg.random_seed)
-        draws = mode + rng.standard_normal((cfg.n_posterior_samples, len(mode))) / np.sqrt(curvature)
+        draws = fit.mode + rng.standard_normal((cfg.n_posterior_samples, len(fit.mode))) / np.sqrt(fit.curvature)
         self.alpha_, self.beta_ = draws[:, 0], draws[:, 1:]
         return self
 
+    def _coded(self, df: DataFrame) -> DataFrame:
+        """Text features as the codes of the fitted rows."""
+        return df if self.codes_ is None else apply_codes(df, self.codes_)
+
     def _fitted(self) -> tuple[Scaler, np.ndarray, np.ndarray]:
         if self.scaler_ is None or self.alpha_ is None or self.beta_ is None:
             raise RuntimeError("the model is not fitted, call fit() first")
@@ -240,8 +277,12 @@ class BayesLogit:
         if label_col and label_col in df.columns:
             rows = rows.withColumn("true_label", F.col(label_col).cast("int"))
             kept.append("true_label")
-        inputs = [c.alias(f"__x_{f}") for c, f in zip(scaler.columns(), names)]
-        rows = rows.select(*kept, *inputs)
+        if self.codes_ is not None:
+            # kept columns stay as they are, also those that are coded as inputs
+            rows = self._coded(rows.withColumns({f"__k_{c}": F.col(c) for c in kept}))
+            rows = rows.select(*[F.col(f"__k_{c}").alias(c) for c in kept], *[c.alias(f"__x_{f}") for c, f in zip(scaler.columns(), names)])
+        else:
+            rows = rows.select(*kept, *[c.alias(f"__x_{f}") for c, f in zip(scaler.columns(), names)])
         xs = [f"__x_{f}" for f in names]
         added = ["mean_proba", "uncertainty", "hdi_lower", "hdi_upper"]
         schema = T.StructType([rows.schema[c] for c in kept] + [T.StructField(c, T.DoubleType()) for c in added])
@@ -273,7 +314,10 @@ class BayesLogit:
     def save(self, spark: SparkSession, path: str) -> None:
         scaler, _, _ = self._fitted()
         self.draws(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/draws")
-        meta = {"config": asdict(self.config), "scaler": asdict(scaler), "features": self.feature_names_}
+        meta = {"config": asdict(self.config), "scaler": asdict(scaler), "features": self.feature_names_, "gradient_norm": self.gradient_norm_}
+        if self.codes_ is not None:
+            self.codes_.stacked().write.mode("overwrite").parquet(f"{path}/codes")
+            meta["texts"] = list(self.codes_.tables)
         spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(
             f"{path}/meta"
         )
@@ -284,6 +328,9 @@ class BayesLogit:
         meta = json.loads(spark.read.text(f"{path}/meta").first()["value"])
         model = cls(BayesConfig(**meta["config"]))
         model.feature_names_ = meta["features"]
+        model.gradient_norm_ = meta.get("gradient_norm")
+        if "texts" in meta:
+            model.codes_ = LabelEncoders.of_stacked(spark.read.parquet(f"{path}/codes"), meta["texts"])
         model.scaler_ = Scaler(**{k: tuple(v) for k, v in meta["scaler"].items()})
         rows = spark.read.parquet(f"{path}/draws").orderBy("draw_id").collect()  # configured number of draws
         model.alpha_ = np.array([r["alpha"] for r in rows])

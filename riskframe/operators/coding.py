@@ -65,6 +65,13 @@ class LabelEncoders:
 
     tables: dict[str, Lookup]
 
+    @classmethod
+    def of_stacked(cls, table: DataFrame, columns: Sequence[str]) -> LabelEncoders:
+        """From the table that `stacked` gives."""
+        sizes = {r["column"]: r["count"] for r in table.groupBy("column").count().collect()}  # one per column
+        part = lambda c: table.where(F.col("column") == c).select("value", "code", "n")
+        return cls({c: Lookup(part(c), ("value",), sizes.get(c, 0), "n") for c in columns})
+
     def stacked(self) -> DataFrame:
         out = None
         for name, lookup in self.tables.items():
@@ -80,13 +87,7 @@ def fit_label_encoders(
     if not names:
         return LabelEncoders({})
     stored = Lookup.build(category_table(train, names), ["column", "value"], "n")
-    sizes = {r["column"]: r["count"] for r in stored.table.groupBy("column").count().collect()}  # one per column
-    return LabelEncoders(
-        {
-            c: Lookup(stored.table.where(F.col("column") == c).select("value", "code", "n"), ("value",), sizes.get(c, 0), "n")
-            for c in names
-        }
-    )
+    return LabelEncoders.of_stacked(stored.table, names)
 
 
 def apply_codes(

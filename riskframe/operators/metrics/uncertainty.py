@@ -157,15 +157,16 @@ def disagreement(
     b: str = "score_b",
     label: str = "y",
     names: tuple[str, str] = ("trees", "bayes"),
+    decision: float = DECISION,
 ) -> DataFrame:
-    """Rows on which two models differ by more than `threshold`, and which model is right there.
+    """Rows on which two models differ by more than `threshold`, and which model is right there at `decision`.
 
     Without any such row all columns but the count are NULL.
     """
     sa, sb, y = F.col(a), F.col(b), F.col(label)
     apart = F.abs(sa - sb) > F.lit(threshold)
-    right = lambda s: F.avg(F.when(apart, ((s >= DECISION).cast("int") == y).cast("double")))
-    high, low = F.lit(DECISION + threshold / 2), F.lit(DECISION - threshold / 2)
+    right = lambda s: F.avg(F.when(apart, ((s >= decision).cast("int") == y).cast("double")))
+    high, low = F.lit(decision + threshold / 2), F.lit(decision - threshold / 2)
     a_high, b_high = (sa > high) & (sb < low), (sb > high) & (sa < low)
     rate = lambda test: F.coalesce(F.avg(F.when(test, y.cast("double"))), F.lit(0.0))
     row = scored.agg(

@@ -16,7 +16,7 @@ from riskframe.functions import columns as C
 from riskframe.models import attribution, bayes, pca, trees
 from riskframe.operators import blocks, coding, encoders, joins, profile, sampling, split, velocity
 from riskframe.operators.metrics import calibration, ranking, report, uncertainty
-from riskframe.plans.evaluation import FraudEvaluator, score_both
+from riskframe.plans.evaluation import EvaluatorConfig, FraudEvaluator, report_lines, score_both
 from riskframe.plans.features import FeaturePipeline, PipelineConfig
 from riskframe.session import materialize, new_folder
 from riskframe.sources import narrowing, sinks, tables
@@ -619,6 +619,16 @@ def m7_newton_step(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(bayes.newton_sums(rows, ["x1", "x2"], STEP_AT), 5)
 
 
+def m7_posterior_mode(spark: SparkSession, sf: str) -> DataFrame:
+    """The fitted point itself: mode and curvature of the posterior over all rows, and whether its gradient vanishes."""
+    rows = fx.txn(spark, sf).select(
+        "isFraud", (F.log1p("TransactionAmt") - 3.0).alias("x1"), C.is_night(C.hour_of_day(_dt())).cast("double").alias("x2")
+    )
+    fit = bayes.posterior_mode(materialize(rows), ["x1", "x2"], "isFraud", bayes.BayesConfig())
+    lines = [(n, float(m), float(h), bool(fit.gradient_norm < 1e-6 * fit.curvature.min())) for n, m, h in zip(("intercept", "x1", "x2"), fit.mode, fit.curvature)]
+    return rounded(spark.createDataFrame(lines, "feature string, mode double, curvature double, at_optimum boolean"), 6)
+
+
 # Three posterior draws (intercept, weight of log1p_amt).
 DRAWS = [(-3.0, [0.5]), (-2.9, [0.4]), (-3.1, [0.6])]
 
@@ -712,12 +722,18 @@ def m13_persistence(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def v19_full_evaluation(spark: SparkSession, sf: str) -> DataFrame:
-    scored = score_both(part(trained_rows(spark, sf), "test"), trained_trees(spark, sf), trained_bayes(spark, sf))
+    tests = part(trained_rows(spark, sf), "test")
     path = f"{new_folder(spark, 'evaluation')}/report"
-    FraudEvaluator(scored).run(path)
+    FraudEvaluator.of_models(tests, trained_trees(spark, sf), trained_bayes(spark, sf)).run(path)
     return sinks.read_report(spark, path).drop("elapsed_s")
 
 
+def v19_evaluation_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole report of two given scores over all transactions, one line per figure."""
+    config = EvaluatorConfig(decision_threshold=0.4, disagreement_threshold=0.25)
+    return report_lines(FraudEvaluator(fx.scored(spark, sf), config).run())
+
+
 # --- streams -----------------------------------------------------------------------------------------
 
 
@@ -892,6 +908,7 @@ def queries() -> dict[str, Query]:
         "m6_short_metrics": _scored(lambda d: report.short_metrics(d, MODELS, rounded=False)),
         "m7_posterior_fit": m7_posterior_fit,
         "m7_newton_step": m7_newton_step,
+        "m7_posterior_mode": m7_posterior_mode,
         "j5_posterior_draws": j5_posterior_draws,
         "m8_posterior_predictive": m8_posterior_predictive,
         "m8_posterior_scores": m8_posterior_scores,
@@ -904,6 +921,7 @@ def queries() -> dict[str, Query]:
         "m12_pca_check": m12_pca_check,
         "m13_persistence_check": m13_persistence_check,
         "v19_full_evaluation": v19_full_evaluation,
+        "v19_evaluation_report": v19_evaluation_report,
         "t1_stream_features": t1_stream_features,
         "t2_stream_velocity": t2_stream_velocity,
         "t3_label_monitor": t3_label_monitor,

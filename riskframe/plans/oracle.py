@@ -52,6 +52,10 @@ SELECT TransactionID, TransactionDT, TransactionAmt, isFraud AS y,
 FROM txn)"""
 
 
+def r(expr: str, name: str, digits: int = 9) -> str:
+    return f"round({expr}, {digits}) AS {name}"
+
+
 def tagged(source: str, name: str = "tagged") -> str:
     return f"""{name} AS (
 SELECT *, CASE WHEN rn <= CAST(floor(n * 0.6::DOUBLE) AS BIGINT) THEN 'train'
@@ -310,6 +314,23 @@ BEST = (
 
 DRAWS = "draws(draw_id, alpha, beta) AS (VALUES (0, -3.0::DOUBLE, 0.5::DOUBLE), (1, -2.9, 0.4), (2, -3.1, 0.6))"
 P_DRAW = "1.0 / (1.0 + exp(-(alpha + beta * ln(1 + TransactionAmt))))"
+METRICS_MATRIX = f"""WITH {RANKED}, {CURVES}, {KS}, {ECE} SELECT model, {r('pr_auc', 'pr_auc')}, {r('roc_auc', 'roc_auc')},
+  {r('2 * roc_auc - 1', 'gini')}, {r('ks_statistic', 'ks_statistic')}, {r('brier_score', 'brier_score')}, {r('ece', 'ece')}, {M50}, {BEST}
+FROM ap JOIN m50 USING (model) JOIN brier USING (model) JOIN best USING (model) JOIN ks USING (model) JOIN ece USING (model)"""
+WIDTHS = f"""WITH {SCORED}, s AS (SELECT avg(hdi_width) AS a, avg(hdi_width) FILTER (y = 1) AS f,
+  avg(hdi_width) FILTER (y = 0) AS l, avg(std) FILTER (y = 1) AS sf, avg(std) FILTER (y = 0) AS sl,
+  100.0 * count(*) FILTER (hdi_width >= (SELECT quantile_cont(hdi_width, 0.75) FROM scored)) / count(*) AS h FROM scored)
+SELECT {r('a', 'mean_uncertainty_all')}, {r('f', 'mean_uncertainty_fraud')}, {r('l', 'mean_uncertainty_legit')},
+  {r('f / greatest(l, 1e-9)', 'uncertainty_ratio')}, {r('h', 'pct_high_uncertainty_q75')}, {r('sf', 'bayes_std_mean_fraud')},
+  {r('sl', 'bayes_std_mean_legit')} FROM s"""
+QUEUES = f"""WITH {FN} SELECT uncertainty_percentile, {r('hdi_width_threshold', 'hdi_width_threshold')}, review_queue_size,
+  {r('review_queue_pct_all', 'review_queue_pct_all')}, fn_caught_in_queue, {r('fn_recovery_pct', 'fn_recovery_pct')}, fraud_in_queue,
+  {r('queue_precision_pct', 'queue_precision_pct')} FROM queues"""
+MISSES = f"""WITH {FN} SELECT (SELECT thr FROM best WHERE model = 'trees') AS optimal_threshold,
+  (SELECT count(*) FROM fn WHERE missed) AS total_false_negatives,
+  round((SELECT 100.0 * count(*) FILTER (missed) / count(*) FILTER (y = 1) FROM fn), 9) AS fn_miss_rate_pct,
+  {r('review_queue_pct_all', 'headline_queue_size_pct')}, {r('fn_recovery_pct', 'headline_fn_recovery_pct')},
+  {r('queue_precision_pct', 'headline_queue_precision_pct')} FROM queues WHERE uncertainty_percentile = 0.75"""
 SUMMARY = {
     "total_transactions": "count(*)::DOUBLE",
     "fraud_rate": "avg(isFraud)",
@@ -333,7 +354,6 @@ SELECT * FROM vel JOIN rest USING (TransactionID)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    r = lambda expr, name, d=9: f"round({expr}, {d}) AS {name}"
     return {
         "s1_csv_scan": f"WITH {MERGED} SELECT * REPLACE (id_01::DOUBLE AS id_01) FROM merged",
         "s3_split_sink": f"WITH {TXN}, {tagged('txn')} SELECT split, TransactionID, TransactionDT, TransactionAmt FROM tagged",
@@ -532,33 +552,13 @@ SELECT model, {r('auc', 'roc_auc')}, {r('2 * auc - 1', 'gini')} FROM a""",
         "v6_threshold_metrics": f"WITH {RANKED}, {CURVES} SELECT model, {M50} FROM m50",
         "v7_brier": f"WITH {RANKED}, {CURVES} SELECT model, {r('brier_score', 'brier_score')} FROM brier",
         "v8_ece": f"WITH {RANKED}, {ECE} SELECT model, {r('ece', 'ece')} FROM ece",
-        "v9_metrics_matrix": f"""WITH {RANKED}, {CURVES}, {KS}, {ECE} SELECT model, {r('pr_auc', 'pr_auc')}, {r('roc_auc', 'roc_auc')},
-  {r('2 * roc_auc - 1', 'gini')}, {r('ks_statistic', 'ks_statistic')}, {r('brier_score', 'brier_score')}, {r('ece', 'ece')}, {M50}, {BEST}
-FROM ap JOIN m50 USING (model) JOIN brier USING (model) JOIN best USING (model) JOIN ks USING (model) JOIN ece USING (model)""",
+        "v9_metrics_matrix": METRICS_MATRIX,
         "v10_calibration_curve": f"""WITH {RANKED}, b AS (SELECT model, score, y, len(list_filter(({ECE_EDGES}::DOUBLE[])[2:], lambda e: e < score)) AS bin FROM long)
 SELECT model, CAST(bin AS INT) AS bin, {r('avg(score)', 'mean_pred')}, {r('avg(y)', 'frac_pos')}, count(*) AS n FROM b GROUP BY model, bin""",
-        "v11_uncertainty_summary": f"""WITH {SCORED}, s AS (SELECT avg(hdi_width) AS a, avg(hdi_width) FILTER (y = 1) AS f,
-  avg(hdi_width) FILTER (y = 0) AS l, avg(std) FILTER (y = 1) AS sf, avg(std) FILTER (y = 0) AS sl,
-  100.0 * count(*) FILTER (hdi_width >= (SELECT quantile_cont(hdi_width, 0.75) FROM scored)) / count(*) AS h FROM scored)
-SELECT {r('a', 'mean_uncertainty_all')}, {r('f', 'mean_uncertainty_fraud')}, {r('l', 'mean_uncertainty_legit')},
-  {r('f / greatest(l, 1e-9)', 'uncertainty_ratio')}, {r('h', 'pct_high_uncertainty_q75')}, {r('sf', 'bayes_std_mean_fraud')},
-  {r('sl', 'bayes_std_mean_legit')} FROM s""",
-        "v12_fn_recovery": f"""WITH {FN} SELECT uncertainty_percentile, {r('hdi_width_threshold', 'hdi_width_threshold')}, review_queue_size,
-  {r('review_queue_pct_all', 'review_queue_pct_all')}, fn_caught_in_queue, {r('fn_recovery_pct', 'fn_recovery_pct')}, fraud_in_queue,
-  {r('queue_precision_pct', 'queue_precision_pct')} FROM queues""",
-        "v13_fn_summary": f"""WITH {FN} SELECT (SELECT thr FROM best WHERE model = 'trees') AS optimal_threshold,
-  (SELECT count(*) FROM fn WHERE missed) AS total_false_negatives,
-  round((SELECT 100.0 * count(*) FILTER (missed) / count(*) FILTER (y = 1) FROM fn), 9) AS fn_miss_rate_pct,
-  {r('review_queue_pct_all', 'headline_queue_size_pct')}, {r('fn_recovery_pct', 'headline_fn_recovery_pct')},
-  {r('queue_precision_pct', 'headline_queue_precision_pct')} FROM queues WHERE uncertainty_percentile = 0.75""",
-        "v14_disagreement": f"""WITH {SCORED}, d AS (SELECT count(*) FILTER (abs(score_a - score_b) > 0.2) AS nd, count(*) AS n,
-  avg(CASE WHEN (score_a >= 0.5) = (y = 1) THEN 1.0 ELSE 0.0 END) FILTER (abs(score_a - score_b) > 0.2) AS aa,
-  avg(CASE WHEN (score_b >= 0.5) = (y = 1) THEN 1.0 ELSE 0.0 END) FILTER (abs(score_a - score_b) > 0.2) AS ab,
-  count(*) FILTER (score_a > 0.6 AND score_b < 0.4) AS ah, count(*) FILTER (score_b > 0.6 AND score_a < 0.4) AS bh,
-  coalesce(avg(y) FILTER (score_a > 0.6 AND score_b < 0.4), 0) AS ra, coalesce(avg(y) FILTER (score_b > 0.6 AND score_a < 0.4), 0) AS rb
-FROM scored) SELECT nd AS n_disagreements, 0.2::DOUBLE AS disagreement_threshold, {r('100.0 * nd / n', 'disagreement_rate_pct')},
-  {r('aa', 'accuracy_a')}, {r('ab', 'accuracy_b')}, CASE WHEN aa > ab THEN 'trees' WHEN ab > aa THEN 'bayes' ELSE 'tie' END AS winner,
-  ah AS a_high_b_low_count, bh AS b_high_a_low_count, {r('ra', 'fraud_rate_a_high_b_low')}, {r('rb', 'fraud_rate_b_high_a_low')} FROM d""",
+        "v11_uncertainty_summary": WIDTHS,
+        "v12_fn_recovery": QUEUES,
+        "v13_fn_summary": MISSES,
+        "v14_disagreement": _disagreement(0.2, 0.5),
         "v15_width_histogram": f"""WITH {SCORED}, s AS (SELECT max(hdi_width) / 59 AS step FROM scored),
 h AS (SELECT y, CAST(least(floor(hdi_width / step), 58) AS INT) AS bin, count(*) AS n, max(step) AS step FROM scored, s GROUP BY 1, 2)
 SELECT y, bin, n, round(n / (sum(n) OVER (PARTITION BY y) * step), 9) AS density FROM h""",
@@ -569,6 +569,7 @@ SELECT y, bin, n, round(n / (sum(n) OVER (PARTITION BY y) * step), 9) AS density
         "v18_routing": f"""WITH {SCORED} SELECT TransactionID, CASE
   WHEN hdi_width >= (SELECT quantile_cont(hdi_width, 0.75) FROM scored) THEN 'review'
   WHEN score_b >= 0.5 THEN 'decline' ELSE 'approve' END AS decision FROM scored""",
+        "v19_evaluation_report": _report(),
         "v21_drift": f"""WITH {SCORED}, {tagged('scored')},
 g AS (SELECT split, score_a AS s, sum(y) AS p, count(*) AS n FROM tagged GROUP BY 1, 2),
 h AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS k, sum(p) OVER (PARTITION BY split) AS pp FROM g
@@ -580,6 +581,7 @@ SELECT split, round(sum(p / pp * tp / k), 9) AS pr_auc FROM h GROUP BY split""",
   AS scale_pos_weight FROM train""",
         "m6_short_metrics": f"""WITH {RANKED}, {CURVES} SELECT model, {r('pr_auc', 'pr_auc')}, {r('roc_auc', 'roc_auc')}, {M50}
 FROM ap JOIN m50 USING (model)""",
+        "m7_posterior_mode": _posterior_mode(),
         "m7_newton_step": f"""WITH {TXN}, x AS (SELECT isFraud AS y, 1.0::DOUBLE AS x0, ln(1 + TransactionAmt) AS x1,
   ({TEMPORAL['is_night']})::DOUBLE AS x2 FROM txn),
 z AS (SELECT *, 1.0 / (1.0 + exp(-(-3.0 + 0.5 * x1 - 0.2 * x2))) AS p FROM x) SELECT """
@@ -617,3 +619,84 @@ def _importance() -> str:
     return f"""WITH {TXN}, t AS (SELECT ProductCD, round(sum(TransactionAmt), 2) AS total FROM txn GROUP BY ProductCD)
 SELECT ProductCD, total, CAST(row_number() OVER (ORDER BY total DESC, ProductCD) AS INT) AS rank,
   round(100.0 * total / sum(total) OVER (), 2) AS importance_pct FROM t"""
+
+
+def _disagreement(threshold: float, decision: float) -> str:
+    apart, high, low = f"abs(score_a - score_b) > {threshold}", decision + threshold / 2, decision - threshold / 2
+    return f"""WITH {SCORED}, d AS (SELECT count(*) FILTER ({apart}) AS nd, count(*) AS n,
+  avg(CASE WHEN (score_a >= {decision}) = (y = 1) THEN 1.0 ELSE 0.0 END) FILTER ({apart}) AS aa,
+  avg(CASE WHEN (score_b >= {decision}) = (y = 1) THEN 1.0 ELSE 0.0 END) FILTER ({apart}) AS ab,
+  count(*) FILTER (score_a > {high} AND score_b < {low}) AS ah, count(*) FILTER (score_b > {high} AND score_a < {low}) AS bh,
+  coalesce(avg(y) FILTER (score_a > {high} AND score_b < {low}), 0) AS ra, coalesce(avg(y) FILTER (score_b > {high} AND score_a < {low}), 0) AS rb
+FROM scored) SELECT nd AS n_disagreements, {threshold}::DOUBLE AS disagreement_threshold, {r('100.0 * nd / n', 'disagreement_rate_pct')},
+  {r('aa', 'accuracy_a')}, {r('ab', 'accuracy_b')}, CASE WHEN aa > ab THEN 'trees' WHEN ab > aa THEN 'bayes' ELSE 'tie' END AS winner,
+  ah AS a_high_b_low_count, bh AS b_high_a_low_count, {r('ra', 'fraud_rate_a_high_b_low')}, {r('rb', 'fraud_rate_b_high_a_low')} FROM d"""
+
+
+def _report() -> str:
+    """The sections of the report, each figure with its decimals, one line per figure."""
+    six = {"pr_auc": 6, "roc_auc": 6, "gini": 6, "ks_statistic": 6, "brier_score": 6, "ece": 6}
+    four = {f"{m}_at_{t}": 4 for m in ("precision", "recall", "f1") for t in ("50", "optimal")}
+    totals = f"""WITH {SCORED} SELECT count(*) AS test_rows, sum(y) AS test_fraud_n, 100.0 * avg(y) AS test_fraud_rate_pct FROM scored"""
+    sections = [
+        ("evaluation_metadata", None, totals, {"test_rows": 0, "test_fraud_n": 0, "test_fraud_rate_pct": 4}),
+        ("models", "model", METRICS_MATRIX, {**six, **four, "optimal_threshold": 4}),
+        ("uncertainty_analysis", None, WIDTHS, {
+            "mean_uncertainty_all": 6, "mean_uncertainty_fraud": 6, "mean_uncertainty_legit": 6, "uncertainty_ratio": 4,
+            "pct_high_uncertainty_q75": 2, "bayes_std_mean_fraud": 6, "bayes_std_mean_legit": 6,
+        }),
+        ("fn_recovery.summary", None, MISSES, {
+            "optimal_threshold": 4, "total_false_negatives": 0, "fn_miss_rate_pct": 2, "headline_queue_size_pct": 2,
+            "headline_fn_recovery_pct": 2, "headline_queue_precision_pct": 2,
+        }),
+        ("fn_recovery.table", "uncertainty_percentile", QUEUES, {
+            "hdi_width_threshold": 6, "review_queue_size": 0, "review_queue_pct_all": 2, "fn_caught_in_queue": 0,
+            "fn_recovery_pct": 2, "fraud_in_queue": 0, "queue_precision_pct": 2,
+        }),
+        ("disagreement_analysis", None, _disagreement(0.25, 0.4), {
+            "n_disagreements": 0, "disagreement_threshold": 9, "disagreement_rate_pct": 2, "accuracy_a": 4, "accuracy_b": 4,
+            "winner": None, "a_high_b_low_count": 0, "b_high_a_low_count": 0, "fraud_rate_a_high_b_low": 4, "fraud_rate_b_high_a_low": 4,
+        }),
+    ]
+    tables, lines = [], []
+    for i, (section, told_by, sql, names) in enumerate(sections):
+        tables.append(f"s{i} AS ({sql})")
+        item = f"CAST({told_by} AS VARCHAR)" if told_by else "CAST(NULL AS VARCHAR)"
+        for name, digits in names.items():
+            figure = "CAST(NULL AS DOUBLE)" if digits is None else f"CAST(round({name}, {digits}) AS DOUBLE)"
+            said = name if digits is None else "CAST(NULL AS VARCHAR)"
+            lines.append(f"SELECT '{section}' AS section, {item} AS item, '{name}' AS name, {figure} AS value, {said} AS said FROM s{i}")
+    return f"WITH {', '.join(tables)} {' UNION ALL '.join(lines)}"
+
+
+def _posterior_mode(steps: int = 14) -> str:
+    """Newton's method written out: every step is one aggregation and a 3 x 3 system solved by determinants."""
+    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+    h = lambda i, j: f"h{min(i, j)}{max(i, j)}"
+    precision = ("0.25", "1", "1")
+
+    def det(columns: list[list[str]]) -> str:
+        a, b, c = columns
+        return (
+            f"({a[0]} * ({b[1]} * {c[2]} - {c[1]} * {b[2]}) - {b[0]} * ({a[1]} * {c[2]} - {c[1]} * {a[2]})"
+            f" + {c[0]} * ({a[1]} * {b[2]} - {b[1]} * {a[2]}))"
+        )
+
+    matrix = [[h(i, j) for i in range(3)] for j in range(3)]
+    right = ["g0", "g1", "g2"]
+    solved = [f"{det([right if k == j else matrix[k] for k in range(3)])} / {det(matrix)} AS d{j}" for j in range(3)]
+    sums = [f"sum((y - p) * x{i}) - {precision[i]} * b{i} AS g{i}" for i in range(3)]
+    sums += [f"sum(p * (1 - p) * x{i} * x{j})" + (f" + {precision[i]}" if i == j else "") + f" AS h{i}{j}" for i, j in pairs]
+    out = f"""WITH {TXN}, x AS (SELECT isFraud AS y, 1.0::DOUBLE AS x0, ln(1 + TransactionAmt) - 3.0 AS x1,
+  ({TEMPORAL['is_night']})::DOUBLE AS x2 FROM txn), t0 AS (SELECT 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2)"""
+    for k in range(steps + 1):
+        out += f""",
+s{k} AS MATERIALIZED (SELECT b0, b1, b2, {', '.join(sums)}
+  FROM (SELECT *, 1.0 / (1.0 + exp(-(b0 * x0 + b1 * x1 + b2 * x2))) AS p FROM x, t{k}) GROUP BY b0, b1, b2),
+e{k} AS (SELECT *, {', '.join(solved)} FROM s{k}),
+t{k + 1} AS MATERIALIZED (SELECT {', '.join(f'b{j} + d{j} * least(1, 5 / greatest(abs(d0), abs(d1), abs(d2), 1e-12)) AS b{j}' for j in range(3))} FROM e{k})"""
+    fits = "greatest(abs(g0), abs(g1), abs(g2)) < 1e-6 * least(h00, h11, h22) AS at_optimum"
+    return out + " " + " UNION ALL ".join(
+        f"SELECT '{name}' AS feature, {r(f'b{j}', 'mode', 6)}, {r(f'h{j}{j}', 'curvature', 6)}, {fits} FROM s{steps}"
+        for j, name in enumerate(("intercept", "x1", "x2"))
+    )

@@ -7,7 +7,7 @@ from riskframe import fixtures
 from riskframe.models import attribution, bayes, pca, trees
 from riskframe.operators import coding
 from riskframe.plans.catalog import BAYES_INPUTS, TREE_INPUTS, model_rows, part
-from riskframe.plans.evaluation import FraudEvaluator, score_both
+from riskframe.plans.evaluation import EvaluatorConfig, FraudEvaluator, score_both
 
 
 @pytest.fixture(scope="module")
@@ -36,7 +36,9 @@ def test_newton_sums_match_numpy(spark, data, logit):
     x = np.hstack([np.ones((len(x), 1)), x])
     y = local["isFraud"].to_numpy(float)
     scaled = logit.scaler_.transform(data, keep=["isFraud"])
-    theta, curvature = bayes.posterior_mode(scaled, BAYES_INPUTS, "isFraud", logit.config)
+    fit = bayes.posterior_mode(scaled, BAYES_INPUTS, "isFraud", logit.config)
+    theta, curvature = fit.mode, fit.curvature
+    assert fit.gradient_norm < 1e-4 and logit.gradient_norm_ < 1e-4
     p = 1 / (1 + np.exp(-x @ theta))
     precision = np.array([0.25] + [1.0] * len(BAYES_INPUTS))
     assert np.abs(x.T @ (y - p) - precision * theta).max() < 1e-4
@@ -48,12 +50,31 @@ def test_newton_sums_match_numpy(spark, data, logit):
 def test_block_sums_equal_the_declared_sums(data, logit):
     scaled = logit.scaler_.transform(data, keep=["isFraud"])
     theta = np.linspace(-1, 1, len(BAYES_INPUTS) + 1)
-    gradient, curvature = bayes.newton_blocks(scaled, BAYES_INPUTS, theta)
+    sums = bayes.newton_blocks(scaled, BAYES_INPUTS, theta)
+    gradient, curvature = sums.gradient, sums.curvature
     row = bayes.newton_sums(scaled, BAYES_INPUTS, theta.tolist()).first()
     assert gradient == pytest.approx([row[f"g{i}"] for i in range(len(theta))])
     assert curvature[1, 3] == pytest.approx(row["h1_3"]) and curvature[3, 1] == pytest.approx(row["h1_3"])
 
 
+def test_text_features_are_coded_by_the_fitted_rows(spark, txn, tmp_path):
+    model = bayes.BayesLogit(bayes.BayesConfig(features=["TransactionAmt", "ProductCD"], n_sample_max=None)).fit(txn)
+    model.save(spark, str(tmp_path))
+    new = txn.limit(50).withColumn("ProductCD", F.when(F.col("TransactionID") % 2 == 0, F.col("ProductCD")))
+    out = model.predict(new, keep=["TransactionID", "ProductCD"])
+    assert out.count() == 50 and sorted(map(str, out.select("TransactionID", "ProductCD").collect())) == sorted(
+        map(str, new.select("TransactionID", "ProductCD").collect())
+    )
+    same(bayes.BayesLogit.load(spark, str(tmp_path)).predict(new), model.predict(new), "TransactionID")
+
+
+def test_a_step_that_overshoots_is_halved(spark):
+    """Newton's full step from zero lowers the log-posterior here."""
+    df = spark.range(4000).selectExpr("CAST(id % 2000 = 0 AS INT) AS isFraud", "CAST(IF(id % 400 = 0, 60, 0) AS DOUBLE) AS x")
+    fit = bayes.posterior_mode(df, ["x"], "isFraud", bayes.BayesConfig(prior_beta_sigma=50.0, prior_alpha_sigma=50.0))
+    assert fit.gradient_norm < 1e-4
+
+
 def test_both_posterior_paths_agree(spark, data, logit):
     """Array expressions and NumPy blocks over the same draws."""
     size = 40
@@ -120,6 +141,15 @@ def test_full_report(spark, data, scorer, logit, tmp_path):
     assert stored["disagreement_analysis"]["n_disagreements"] == row["disagreement_analysis"]["n_disagreements"]
 
 
+def test_settings_of_the_evaluator_are_read(spark, txn):
+    made = fixtures.scored(spark, SF)
+    low = FraudEvaluator(made, EvaluatorConfig(decision_threshold=0.1)).analyze_disagreement().first()
+    high = FraudEvaluator(made, EvaluatorConfig(decision_threshold=0.5)).analyze_disagreement().first()
+    assert low["accuracy_a"] != high["accuracy_a"]
+    queue = FraudEvaluator(made).analyze_fn_recovery()[1].first()
+    assert queue["fn_recovery_pct"] == round(queue["fn_recovery_pct"], 2)
+
+
 def test_importances(spark, scorer):
     table = rows(scorer.get_feature_importance(spark), "rank")
     assert sum(r["importance_pct"] for r in table) == pytest.approx(100.0, abs=0.1)
