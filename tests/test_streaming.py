@@ -103,3 +103,31 @@ def test_rows_behind_the_watermark_are_dropped(spark, tmp_path):
         1: (0, 0.0, 0.0), 2: (1, 1.0, 1.0), 9: (0, 0.0, 0.0), 3: (0, 0.0, 0.0), 4: (1, 4.0, 4.0), 5: (0, 0.0, 0.0),
         7: (1, 4.0, 4.0), 8: (1, 4.0, 4.0), 10: (3, 52.0, 52.0 / 3), 11: (0, 0.0, 0.0),
     }
+
+
+def test_calls_and_states_do_not_grow_with_the_entities(spark, tmp_path):
+    """Many entities share few keys, none of whose rows see those of another; NULL is an entity of its own."""
+    schema = "TransactionID long, TransactionDT long, TransactionAmt double, card1 string"
+    rows = [(i, 1_000 * (i // 900) + i % 50, float(i % 7), None if i % 300 == 0 else f"c{i % 300}") for i in range(3_600)]
+    df = spark.createDataFrame(rows, schema)
+    stream = stream_of(spark, df, str(tmp_path / "in"), 3)
+    query = jobs.write_stream(
+        state.velocity_state(stream, ["card1"], HOUR, buckets=4), str(tmp_path / "out"), str(tmp_path / "state")
+    )
+    query.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(held) <= 4 * 2
+    got = state.wide_velocity(spark.read.parquet(str(tmp_path / "out")), ["card1"], HOUR)
+    names = ["TransactionID", *expected_feature_names(["card1"], HOUR)]
+    same(got.select(*names), compute_velocity_features(df, ["card1"], HOUR).select(*names), "TransactionID")
+
+
+def test_bucketed_state_by_default(spark, tmp_path):
+    """The default bounds the states of a chunk by the number of buckets, whatever the number of entities."""
+    schema = "TransactionID long, TransactionDT long, TransactionAmt double, card1 string"
+    df = spark.createDataFrame([(i, i // 100, 1.0, f"c{i % 1_500}") for i in range(3_000)], schema)
+    stream = stream_of(spark, df, str(tmp_path / "in"), 1)
+    query = jobs.write_stream(state.velocity_state(stream, ["card1"], HOUR), str(tmp_path / "out"), str(tmp_path / "state"))
+    query.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(held) <= 2 * state.BUCKETS < 1_500
