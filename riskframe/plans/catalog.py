@@ -528,14 +528,19 @@ def v1_pr_auc_documents(spark: SparkSession, sf: str) -> DataFrame:
 # --- models ------------------------------------------------------------------------------------------
 
 
-def model_rows(spark: SparkSession, sf: str, columns: Sequence[str]) -> DataFrame:
-    """Id, label, `split` and the named features of all rows, written once for the several fits."""
+def model_inputs(spark: SparkSession, sf: str, columns: Sequence[str]) -> DataFrame:
+    """Id, label, `split` and the named features of all rows."""
     rows = tagged(spark, sf)
     wants_velocity = any(c.startswith("vel_") for c in columns)
     config = PipelineConfig(run_velocity=wants_velocity, amount_scale=CENTS)
     plan = FeaturePipeline(config).fit(rows.where("split = 'train'"))
     made = plan.transform(joins.merge_tables(rows, fx.identity(spark, sf)))
-    return materialize(made.select(*dict.fromkeys(["TransactionID", "isFraud", "split", *columns])))
+    return made.select(*dict.fromkeys(["TransactionID", "isFraud", "split", *columns]))
+
+
+def model_rows(spark: SparkSession, sf: str, columns: Sequence[str]) -> DataFrame:
+    """`model_inputs` written once for the several fits."""
+    return materialize(model_inputs(spark, sf, columns))
 
 
 def part(rows: DataFrame, name: str) -> DataFrame:
@@ -561,7 +566,7 @@ def stored_once(spark: SparkSession, sf: str, name: str, write: Callable[[str],
 
 def trained_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Model inputs of all rows."""
-    made = lambda path: model_rows(spark, sf, [*TREE_INPUTS, *BAYES_INPUTS]).write.parquet(path)
+    made = lambda path: model_inputs(spark, sf, [*TREE_INPUTS, *BAYES_INPUTS]).write.parquet(path)
     return spark.read.parquet(stored_once(spark, sf, "rows", made))
 
 
