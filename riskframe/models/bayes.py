@@ -223,6 +223,22 @@ def coefficient_summary(draws: DataFrame, features: Sequence[str]) -> DataFrame:
     ).orderBy(F.abs("mean").desc())
 
 
+def interval(p: np.ndarray) -> list[np.ndarray]:
+    """The quantiles `TAILS` of each row of `p`, as `np.percentile` gives them; NaN for a row that holds one.
+
+    One sort of all rows takes a tenth of the time of its selection row by row.
+    """
+    ordered = np.sort(p, axis=1)  # NaN last
+    ends, lost = [], np.isnan(ordered[:, -1])
+    for q in TAILS:
+        position = q * (p.shape[1] - 1)
+        at = int(position)
+        low, high, share = ordered[:, at], ordered[:, min(at + 1, p.shape[1] - 1)], np.float64(position - at)
+        between = low + (high - low) * share if share < 0.5 else high - (high - low) * (1 - share)
+        ends.append(np.where(lost, np.nan, between))
+    return ends
+
+
 class BayesLogit:
     """fit / predict / get_coefficient_summary / save / load."""
 
@@ -293,7 +309,7 @@ class BayesLogit:
                     part = batch.iloc[start : start + PREDICTION_ROWS]
                     x = part[xs].to_numpy(np.float32)
                     p = 1.0 / (1.0 + np.exp(-(x @ b.T + a)))  # (rows, draws)
-                    low, high = np.percentile(p, [100 * t for t in TAILS], axis=1)
+                    low, high = interval(p)
                     out = part[kept].copy()
                     out["mean_proba"] = p.mean(axis=1).astype(np.float64)
                     out["uncertainty"] = p.std(axis=1).astype(np.float64)
